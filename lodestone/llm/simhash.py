@@ -110,7 +110,7 @@ def _bucket_edges(keyed: DataFrame, distance: int, most: int) -> DataFrame:
     sizes = keyed.groupBy("k", "b").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("lo"), F.max("fp").alias("hi"))
     sizes = sizes.where((F.col("n") > 1) & (F.col("n") <= most))
     pairs = sizes.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).where(F.bit_count(F.expr("a ^ b")) <= distance)
-    more = keyed.join(sizes.where("n > 2").select("k", "b"), ["k", "b"]).groupBy("k", "b").agg(F.collect_list("fp").alias("members"))
+    more = keyed.join(sizes.where("n > 2").select("k", "b"), ["k", "b"]).groupBy("k", "b").agg(F.array_sort(F.collect_list("fp")).alias("members"))
     return pairs.unionByName(more.select("members").mapInPandas(run, "a long, b long"))
 
 
@@ -131,6 +131,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Hooks each root onto the smallest neighbouring root and halves paths, so rounds grow with the logarithm of a
     component's width. Each round is written to the shared folder.
     """
+    edges = materialise(edges, "links")  # read in both directions below, so the links must be the same each time
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     pairs = materialise(both, "edges")
     if pairs.isEmpty():
