@@ -3,7 +3,7 @@
 Hashes of line keys are range-partitioned together with their document, sorted by hash, document and position; a
 streaming aggregate over each range reads off every (hash, document) once, and a small second aggregate finds how many
 documents hold a hash and which one keeps it. A hot line spreads over as many ranges as its documents fill, and its
-partial results are one row a range. Dropped positions come back as run-length compressed bitmaps, one row per
+partial results are one row a range. Hashes are written once, so texts are read twice in all. Dropped positions come back as run-length compressed bitmaps, one row per
 document with drops, and only they meet the texts again.
 
 Nulls: a null text is one empty line; a null doc_id counts as one document below all others. Rows with equal doc_id and
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Upper and lower case of A-Z; the white space bytes 20 and 09 to 0D.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -23,6 +25,9 @@ SPACE = " \t\n\x0b\f\r"
 
 _NO_ID = -(1 << 63)
 
+#: Common lines up to this many are broadcast (24 bytes each) to find their places; beyond it that join is shuffled.
+BROADCAST_LINES = 500_000
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), "\n", -1)
@@ -33,17 +38,26 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x00", F.coalesce(doc_id.cast("string"), F.lit("null")), F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))).cast("binary")))
 
 
+def lower_ascii(c: Column) -> Column:
+    """A-Z lower-cased and nothing else. lower() where it can't touch another letter, as translate() is slow."""
+    plain = F.octet_length(c) == F.length(c)
+    caseless = c.rlike(r"^[\x00-\x7F\p{Ll}\p{Lo}\p{Nd}\p{P}\p{Z}]*$")
+    return F.when(plain | caseless, F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
+
+
 def drop_maps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Compressed keep bitmaps: row_key, n_dropped, runs (start, length of dropped lines; the rest is kept)."""
-    ids = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), F.posexplode(_lines(F.col("text"))).alias("pos", "line")
-    )
-    keys = ids.where(F.length("line") >= min_chars).select("doc", "row_key", "pos", F.btrim(F.translate("line", UPPER, LOWER), F.lit(SPACE)).alias("key")).where(F.length("key") >= min_chars)
-    hashes = keys.select(F.unhex(F.md5(F.col("key").cast("binary"))).alias("h"), "doc", "row_key", "pos")
+    # the row's key is made before lines are, else it would be made again for each of them
+    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), _row_key(F.col("doc_id"), F.col("text")).alias("row_key"), _lines(F.col("text")).alias("lines"))
+    lines = ids.select("doc", "row_key", F.posexplode("lines").alias("pos", "line")).where(F.length("line") >= min_chars)
+    keys = lines.select("doc", "row_key", "pos", F.btrim("line", F.lit(SPACE)).alias("key")).where(F.length("key") >= min_chars)
+    hashes = materialise(keys.select(F.unhex(F.md5(lower_ascii(F.col("key")).cast("binary"))).alias("h"), "doc", "row_key", "pos"), "line-hashes")
     ranged = hashes.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "pos")
     holders = ranged.groupBy("h", "doc").agg(F.count(F.lit(1)).alias("n"))
     common = holders.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h", "keeper")
-    dropped = ranged.join(common, "h").where(F.col("doc") != F.col("keeper"))
+    common = materialise(common, "common-lines")
+    few = common.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    dropped = hashes.join(F.broadcast(common) if few else common, "h").where(F.col("doc") != F.col("keeper"))
     per_row = dropped.groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     first = F.filter("at", lambda x, i: (i == 0) | (F.get(F.col("at"), i - 1) != x - 1))
     last = F.filter("at", lambda x, i: F.coalesce(F.get(F.col("at"), i + 1) != x + 1, F.lit(True)))
