@@ -34,7 +34,7 @@ def first_heading(text: Column) -> Column:
 
 def markdown_folder(spark: SparkSession, root: str) -> DataFrame:
     """All `<locale>/…/<name>.md` below root as documents; files without a locale folder or with a bad tag are skipped."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     base = root.rstrip("/").split("://")[-1]
     at = raw.select(F.col("value").alias("text"), F.element_at(F.split(F.col("_metadata.file_path"), base.replace(".", r"\.") + "/"), -1).alias("source_uri"))
     parts = F.split("source_uri", "/")
