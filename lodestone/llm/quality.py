@@ -57,17 +57,22 @@ def _direction(x: np.ndarray) -> np.ndarray:
     return x / np.where(n > 0, n, 1)
 
 
+def _principal(x: np.ndarray, k: int, spare: int = 16, rounds: int = 5) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration from a fixed random start."""
+    q = np.linalg.qr(x.T @ np.random.default_rng(11).normal(size=(len(x), min(k + spare, *x.shape))).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, s, vt = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ vt[: min(k, int((s > 1e-6).sum()))].T).astype(np.float32)
+
+
 class Voters:
     def __init__(self, counts: np.ndarray, labels: np.ndarray, shares: np.ndarray):
         seen = (counts > 0).sum(0)
         self.idf = np.log((len(counts) + 1) / (seen + 1)).astype(np.float32) + 0.1
         self.idf[REPEATS] *= REPEATS_WEIGHT
         x = self.weigh(counts)
-        gram = x.T @ x
-        values, vectors = np.linalg.eigh(gram.astype(np.float64))
-        keep = np.argsort(values)[::-1][: min(DIMENSIONS, len(counts))]
-        keep = keep[values[keep] > 1e-9]
-        self.project = vectors[:, keep].astype(np.float32)
+        self.project = _principal(x, DIMENSIONS)
         self.vectors = _direction(x @ self.project)
         self.labels = labels.astype(np.float32)
         mean = max(1e-9, float(labels.mean())), max(1e-9, 1 - float(labels.mean()))
