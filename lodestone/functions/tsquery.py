@@ -7,6 +7,7 @@ A tree is nested lists: ["term", lexeme, prefix], ["and", ...], ["or", ...], ["n
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from .text import python_tokens
 
@@ -55,7 +56,7 @@ def terms(tree: list | None, negated: bool = False) -> set[str]:
     if tree is None or negated:
         return set()
     if tree[0] in ("term", "phrase"):
-        return set(tree[1:])
+        return {w for w in tree[1:] if w is not None}
     if tree[0] == "not":
         return terms(tree[1], True)
     return set().union(*(terms(x) for x in tree[1:]))
@@ -66,10 +67,29 @@ def all_terms(tree: list | None) -> set[str]:
     if tree is None:
         return set()
     if tree[0] in ("term", "phrase"):
-        return set(tree[1:])
+        return {w for w in tree[1:] if w is not None}
     return set().union(*(all_terms(x) for x in tree[1:]))
 
 
+def map_terms(tree: list | None, of: Callable[[str], str | None]) -> list | None:
+    """The tree with its lexemes mapped; those mapped to None go, in a phrase they leave a gap."""
+    if tree is None:
+        return None
+    kind = tree[0]
+    if kind in ("term", "phrase"):
+        words = [of(w) for w in tree[1:]]
+        while words and words[0] is None:
+            words.pop(0)
+        while words and words[-1] is None:
+            words.pop()
+        return None if not words else ["term", words[0]] if len(words) == 1 else ["phrase", *words]
+    if kind == "not":
+        inner = map_terms(tree[1], of)
+        return inner and ["not", inner]
+    parts = [m for x in tree[1:] if (m := map_terms(x, of))]
+    return None if not parts else parts[0] if len(parts) == 1 else [kind, *parts]
+
+
 def needs_term(tree: list | None) -> bool:
     """Whether a match must hold one of terms(tree); if not, every document is a candidate."""
     if tree is None:
@@ -88,8 +108,8 @@ def evaluate(tree: list | None, positions: dict[str, list[int]]) -> bool:
     if kind == "term":
         return tree[1] in positions
     if kind == "phrase":
-        later = [set(positions.get(t, ())) for t in tree[2:]]
-        return any(all(p + i in s for i, s in enumerate(later, 1)) for p in positions.get(tree[1], ()))
+        later = [(i, set(positions.get(w, ()))) for i, w in enumerate(tree[2:], 1) if w is not None]
+        return any(all(p + i in s for i, s in later) for p in positions.get(tree[1], ()))
     if kind == "not":
         return not evaluate(tree[1], positions)
     return (all if kind == "and" else any)(evaluate(x, positions) for x in tree[1:])

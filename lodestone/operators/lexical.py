@@ -18,6 +18,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions import tsquery
 from ..functions.normalise import Registry
+from ..functions.stemming import lexeme
 from ..functions.text import WORD, word_similarity
 
 #: Places beyond this count as this one; a lexeme keeps so many places.
@@ -25,24 +26,38 @@ MAX_PLACE = 16_383
 MAX_PLACES = 256
 
 
-def postings(chunks: DataFrame, registry: Registry) -> DataFrame:
-    """chunk_id, locale, lexeme, entries (array of place, weight). chunks: chunk_id, locale, source (text to index)."""
+def postings(chunks: DataFrame, registry: Registry, stems: bool = False) -> DataFrame:
+    """chunk_id, locale, lexeme, entries (array of place, weight). chunks: chunk_id, locale, source (text to index).
+
+    With stems, full tokens of locales with the English search configuration are stemmed and its stop words left out.
+    """
     folded = chunks.withColumn("folded", registry.by_locale(F.col("locale"), lambda r: r.column(F.col("source"))))
     folded = folded.withColumn("stems", registry.by_locale(F.col("locale"), lambda r: r.prefix_column(F.col("folded"))))
     words = F.transform(F.regexp_extract_all(F.col("folded"), F.lit(f"({WORD})"), 1), F.lower)
-    stems = F.transform(F.regexp_extract_all(F.col("stems"), F.lit(f"({WORD})"), 1), F.lower)
-    placed = folded.select("chunk_id", "locale", words.alias("w"), stems.alias("s"))
+    starts = F.transform(F.regexp_extract_all(F.col("stems"), F.lit(f"({WORD})"), 1), F.lower)
+    placed = folded.select("chunk_id", "locale", words.alias("w"), starts.alias("s"))
     entry = lambda x, i, weight, first: F.struct(x.alias("lexeme"), F.least(i + 1 + first, F.lit(MAX_PLACE)).alias("place"), F.lit(weight).alias("weight"))
     all_entries = F.concat(F.transform("w", lambda x, i: entry(x, i, "A", F.lit(0))), F.transform("s", lambda x, i: entry(x, i, "D", F.size("w"))))
     rows = placed.select("chunk_id", "locale", F.explode(all_entries).alias("e")).select("chunk_id", "locale", "e.*")
+    if stems:
+        english = registry.by_locale(F.col("locale"), lambda r: F.lit(r.config == "english")) & (F.col("weight") == "A")
+        rows = rows.withColumn("lexeme", F.when(english, _english()("lexeme")).otherwise(F.col("lexeme"))).where(F.col("lexeme").isNotNull())
     lists = rows.groupBy("chunk_id", "locale", "lexeme").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("entries"))
     return lists.withColumn("entries", F.slice("entries", 1, MAX_PLACES))
 
 
-def query_tree(query: str, locale: str, registry: Registry, alternatives: list[str]) -> list | None:
-    """The tree of a query's alternatives, or-ed with that of their stem prefixes."""
+def _english():
+    @arrow_udf("string")
+    def run(words: pa.Array) -> pa.Array:
+        return pa.array([lexeme(w, "english") for w in words.to_pylist()], pa.string())
+
+    return run
+
+
+def query_tree(locale: str, registry: Registry, alternatives: list[str], config: str | None = None) -> list | None:
+    """The tree of a query's alternatives in a search configuration, or-ed with that of their stem prefixes."""
     rules = registry.resolve(locale)
-    full = tsquery.parse(" OR ".join(alternatives))
+    full = tsquery.map_terms(tsquery.parse(" OR ".join(alternatives)), lambda w: lexeme(w, config))
     stems = tsquery.parse(" OR ".join(p for a in alternatives if (p := rules.prefixes(a))))
     return tsquery.either(full, stems)
 
