@@ -52,6 +52,17 @@ def trigram_counts(text: str | None) -> np.ndarray:
     return out
 
 
+def _pack(counts: np.ndarray) -> bytes:
+    """The buckets that aren't empty, then their counts."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def _unpack(data: bytes, into: np.ndarray) -> None:
+    n = len(data) // 6
+    into[np.frombuffer(data, "<u2", n)] = np.frombuffer(data, "<f4", n, 2 * n)
+
+
 def _direction(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(n > 0, n, 1)
@@ -105,16 +116,18 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Voters
     spread = 1 << 30
     cut = F.when(F.col("_label") == 1, F.lit(min(spread, spread * VOTERS // 2 // counts[1]))).otherwise(F.lit(min(spread, spread * VOTERS // 2 // counts[0])))
 
-    @arrow_udf("array<float>")
+    @arrow_udf("binary")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([trigram_counts(t) for t in batch.to_pylist()], pa.list_(pa.float32()))
+            yield pa.array([_pack(trigram_counts(t)) for t in batch.to_pylist()], pa.binary())
 
     some = rows.where(F.pmod(sample_hash(), F.lit(spread)) < cut).select("_label", excerpt(F.col("text"), SAMPLE_CHARS, 8).alias("t")).limit(VOTERS + VOTERS // 4)
     found = some.select("_label", counted("t").alias("x")).toArrow()
     if not found.num_rows:
         return float(counts[1] / (counts[0] + counts[1]))
-    x = found["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(found.num_rows, BUCKETS).astype(np.float32)
+    x = np.zeros((found.num_rows, BUCKETS), dtype=np.float32)
+    for row, data in zip(x, found["x"], strict=True):
+        _unpack(data.as_py(), row)
     y = found["_label"].to_numpy()
     total = counts[0] + counts[1]
     return Voters(x, y, np.array([counts[0] / total, counts[1] / total]))
