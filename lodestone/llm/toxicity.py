@@ -8,7 +8,8 @@ use alike. So an expression that is rare, or no more frequent in one class than
 probability under both. An expression that has no own count backs off from pair to word to beginnings of 7, 6, 5 letters.
 
 Counts cover every labelled document outside the held-out fold and are aggregated in a shuffle that grows with them.
-Sent out are only expressions that hold a share of at least RARE of all counts of a class, at most 1 / RARE a class.
+Every expression with an own count in any of the models is used. Up to SENT of them are broadcast; beyond that, documents
+are dealt into groups, and each group is sent, through a join with the table of counts, those that its texts hold.
 
 The score is a logistic function of the difference of the length-normalised log-likelihoods (damped by arcsinh), its two
 parameters fitted on about CALIBRATION labelled documents at most, each scored by models that have not seen its fold.
@@ -22,18 +23,23 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, held_out, letter_words, logistic, logistic_fit, sample_hash, with_labels
+from .common import fold, held_out, letter_words, logistic, logistic_fit, materialise, sample_hash, with_labels
 
-#: Least share of a class's counts of an expression that is sent out.
-RARE = 2.0**-18
+#: Expressions, or words that pairs are counted of, that are broadcast; more go through a shuffle.
+SENT = 1 << 20
+#: Documents of a group that is scored with the expressions of its own texts.
+GROUP = 500
 #: Discount from class counts: SHARE x expected + DISCOUNT.
 SHARE = 2.0
 DISCOUNT = 3.0
@@ -57,8 +63,18 @@ def beginnings(word: bytes) -> list[bytes]:
 _COLUMNS = [f"c{y}{f}" for y in (0, 1) for f in FOLDS]
 
 
-def _count(rows: DataFrame, known) -> DataFrame:
-    """Documents that hold an expression, by class and fold: words and beginnings, or (known: broadcast words) pairs of known words."""
+def _pairs(words: list[bytes], known=None) -> set[bytes]:
+    return {a + b" " + b for a, b in zip(words, words[1:], strict=False) if known is None or (a in known and b in known)}
+
+
+def _singles(words: list[bytes]) -> set[bytes]:
+    found = set(words)
+    found.update([b for w in list(found) for b in beginnings(w)])
+    return found
+
+
+def _count(rows: DataFrame, pairs: bool, known=None) -> DataFrame:
+    """Documents that hold an expression, by class and fold: words and beginnings, or pairs (known: broadcast words, pairs of them only)."""
     schema = "e binary, " + ", ".join(f"{c} long" for c in _COLUMNS)
     arrow = pa.schema([("e", pa.binary()), *((c, pa.int64()) for c in _COLUMNS)])
 
@@ -78,11 +94,7 @@ def _count(rows: DataFrame, known) -> DataFrame:
                 part = batch.slice(at, 64)
                 for text, label, f in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     words = letter_words(text)
-                    if words_known is None:
-                        found = set(words)
-                        found.update([b for w in list(found) for b in beginnings(w)])
-                    else:
-                        found = {a + b" " + b for a, b in zip(words, words[1:], strict=False) if a in words_known and b in words_known}
+                    found = _pairs(words, words_known) if pairs else _singles(words)
                     held[label * len(FOLDS) + FOLDS.index(f)].update(found)
                 if sum(map(len, held)) >= _FLUSH:
                     yield flush()
@@ -93,27 +105,29 @@ def _count(rows: DataFrame, known) -> DataFrame:
     return counted.groupBy("e").agg(*[F.sum(c).alias(c) for c in _COLUMNS])
 
 
-def _class_sum(label: int):
-    return sum(F.col(f"c{label}{f}") for f in FOLDS)
+def _any_model(documents: np.ndarray, test: Callable[[Column, Column, float], Column]) -> Column:
+    """Whether test(own count, both counts, SHARE x class share) holds for a class in the model of all folds or one without a fold."""
+    out = F.lit(False)
+    for left_out in (None, *FOLDS):
+        use = [i for i, x in enumerate(FOLDS) if x != left_out]
+        n = np.maximum(documents[:, use].sum(1).astype(float), 1)
+        c = [reduce(add, [F.col(f"c{y}{FOLDS[i]}") for i in use]) for y in (0, 1)]
+        for y in (0, 1):
+            out = out | test(c[y], c[0] + c[1], SHARE * float(n[y] / n.sum()))
+    return out
+
 
+def _has_own(documents: np.ndarray) -> Column:
+    """Expressions with an own count in any model; the margin is for rounding, as the models decide it again."""
+    return _any_model(documents, lambda c, both, s: c - both * F.lit(s) - F.lit(DISCOUNT) > F.lit(-1e-6))
 
-def _totals(counts: DataFrame) -> np.ndarray:
-    got = counts.agg(*[F.sum(c).alias(c) for c in _COLUMNS]).first()
-    return np.array([[got[f"c{y}{f}"] or 0 for f in FOLDS] for y in (0, 1)], dtype=np.int64)
 
+def _pair_may_have_own(documents: np.ndarray) -> Column:
+    """Words whose pairs can have an own count: a pair is in no more documents than its words, and needs c - s * c > DISCOUNT."""
+    return _any_model(documents, lambda c, both, s: c * F.lit(1 - s) > F.lit(DISCOUNT - 1e-6))
 
-def _frequent(counts: DataFrame, totals: np.ndarray, own: bool) -> dict[bytes, tuple]:
-    """Expressions with a large enough share of a class's counts; own: only those one class may have a count of its own of."""
-    n0, n1 = (max(1, int(x)) for x in totals.sum(1))
-    c0, c1 = _class_sum(0), _class_sum(1)
-    chosen = counts.where(((c0 > DISCOUNT) & (c0 >= RARE * n0)) | ((c1 > DISCOUNT) & (c1 >= RARE * n1)))
-    if own:
-        # without one fold the expected counts shift a little, so the bound is a loose one
-        one = n1 / (n0 + n1)
-        chosen = chosen.where((c1 > (c0 + c1) * F.lit(min(0.99, SHARE * one * 0.5))) | (c0 > (c0 + c1) * F.lit(min(0.99, SHARE * (1 - one) * 0.5))))
-    table = chosen.toArrow().sort_by("e")
-    if table.num_rows > 2 / RARE + 2:
-        raise AssertionError("more frequent expressions than shares of the counts allow")
+
+def _by_expression(table: pa.Table) -> dict[bytes, tuple]:
     columns = [table[c].to_pylist() for c in ["e", *_COLUMNS]]
     return dict(zip(columns[0], zip(*columns[1:], strict=True), strict=True))
 
@@ -140,6 +154,59 @@ class Model:
         ratio = np.log(np.maximum(p[special, 1], 1e-12) / np.maximum(p[special, 0], 1e-12))
         return Ratios(dict(zip([x for x, s in zip(self.names, special, strict=True) if s], ratio.tolist(), strict=True)))
 
+    def differences(self, docs: DataFrame) -> DataFrame:
+        """docs (text, _fold, …) with _difference, by the models that have not seen the fold."""
+        sent = docs.sparkSession.sparkContext.broadcast(self)
+
+        @arrow_udf("double")
+        def unseen(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            by = {f: sent.value.without(f) for f in FOLDS}
+            for text, f in batches:
+                yield pa.array([by[k].difference(t) for t, k in zip(text.to_pylist(), f.to_pylist(), strict=True)], pa.float64())
+
+        return docs.withColumn("_difference", unseen("text", "_fold"))
+
+
+class Table:
+    """The same counts as a table that is too large to send out."""
+
+    def __init__(self, counts: DataFrame, documents: np.ndarray):
+        self.counts = counts
+        self.documents = documents
+
+    def differences(self, docs: DataFrame) -> DataFrame:
+        """docs (doc_id, text, _fold, …) with _difference, by the models that have not seen the fold; a null fold: by all.
+
+        Groups are dealt by id and text, and a group asks for an expression once, so no common word makes a hot key.
+        """
+        documents = self.documents
+        groups = max(1, -(-docs.count() // GROUP))
+        dealt = docs.withColumn("_group", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("string")), F.lit(groups)))
+        arrow = pa.schema([("_group", pa.int64()), ("e", pa.binary())])
+
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    part, found = batch.slice(at, 64), set()
+                    for g, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                        words = letter_words(text)
+                        found.update((g, e) for e in _singles(words) | _pairs(words))
+                    yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int64()), pa.array([e for _, e in found], pa.binary())], schema=arrow)
+
+        def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
+            model, by, out = Model(_by_expression(counts), documents), {}, []
+            for t, f in zip(texts["_text"].to_pylist(), texts["_fold"].to_pylist(), strict=True):
+                if f not in by:
+                    by[f] = model.without(f)
+                out.append(by[f].difference(t))
+            return texts.drop_columns(["_group", "_text"]).append_column("_difference", pa.array(out, pa.float64()))
+
+        asked = dealt.select("_group", F.col("text").cast("string")).mapInArrow(held, "_group long, e binary").distinct()
+        answers = asked.join(self.counts, "e").select("_group", "e", *_COLUMNS)
+        schema = StructType([*docs.schema.fields, StructField("_difference", DoubleType())])
+        texts = dealt.select(*docs.columns, "_group", F.col("text").cast("string").alias("_text"))
+        return texts.groupBy("_group").cogroup(answers.groupBy("_group")).applyInArrow(run, schema)
+
 
 class Ratios:
     def __init__(self, ratio: dict[bytes, float]):
@@ -176,7 +243,7 @@ def _feature(difference: np.ndarray) -> np.ndarray:
     return np.arcsinh(100 * difference)
 
 
-def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Model, np.ndarray] | float:
+def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Model | Table, np.ndarray] | float:
     """The models and the logistic weights; the share of the one class if there is one only."""
     sc = docs.sparkSession.sparkContext
     rows = with_labels(docs.select("doc_id", "text").where(~held_out()), labels.select("doc_id", column), column)
@@ -185,31 +252,24 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Mo
     documents = np.array([[sizes.get((y, f), 0) for f in FOLDS] for y in (0, 1)], dtype=np.int64)
     if not documents.sum(1).all():
         return float(documents[1].sum() > 0)
-    words = _count(rows, None).persist()
+    words = _count(rows, pairs=False).persist()
     try:
-        totals = _totals(words)
-        frequent = set(_frequent(words.where(~F.endswith(F.col("e"), F.lit(b"*"))), totals, own=False))
-        counts = _frequent(words, totals, own=True)
+        known = words.where(~F.endswith(F.col("e"), F.lit(b"*")) & _pair_may_have_own(documents)).select("e")
+        few = known.limit(SENT + 1).count() <= SENT
+        pairs = _count(rows, pairs=True, known=sc.broadcast(set(known.toArrow()["e"].to_pylist())) if few else None)
+        counts = materialise(words.unionByName(pairs).where(_has_own(documents)), "toxic-expressions")
     finally:
         words.unpersist()
-    pairs = _count(rows, sc.broadcast(frequent)).persist()
-    try:
-        counts |= _frequent(pairs, _totals(pairs), own=True)
-    finally:
-        pairs.unpersist()
-    model = Model(counts, documents)
-    sent = sc.broadcast(model)
-
-    @arrow_udf("double")
-    def unseen(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        by = {f: sent.value.without(f) for f in FOLDS}
-        for text, f in batches:
-            yield pa.array([by[k].difference(t) for t, k in zip(text.to_pylist(), f.to_pylist(), strict=True)], pa.float64())
+    if counts.limit(SENT + 1).count() <= SENT:
+        model = Model(_by_expression(counts.toArrow().sort_by("e")), documents)
+    else:
+        model = Table(counts, documents)
 
     spread = 1 << 30
     part = min(spread, int(spread * CALIBRATION / documents.sum()))
     some = rows.where(F.pmod(sample_hash(), F.lit(spread)) < F.lit(part))
-    fit = some.select(unseen(F.col("text").cast("string"), fold().cast("int")).alias("x"), F.col("_label").alias("y")).toArrow()
+    some = some.select("doc_id", F.col("text").cast("string").alias("text"), fold().cast("int").alias("_fold"), F.col("_label").alias("y"))
+    fit = model.differences(some).select(F.col("_difference").alias("x"), "y").toArrow()
     y = fit["y"].to_numpy().astype(float)
     if not len(y) or not 0 < y.mean() < 1:
         return float(documents[1].sum() / documents.sum())
@@ -218,11 +278,19 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "toxic") -> tuple[Mo
     return model, np.array([max(1e-3, w[0]), w[1]])
 
 
-def score(docs: DataFrame, learned: tuple[Model, np.ndarray] | float) -> DataFrame:
+def score(docs: DataFrame, learned: tuple[Model | Table, np.ndarray] | float) -> DataFrame:
     """The documents with a column _score."""
     if isinstance(learned, float):
         return docs.withColumn("_score", F.lit(learned))
     model, w = learned
+    if isinstance(model, Table):
+
+        @arrow_udf("double")
+        def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                yield pa.array(logistic(w[0] * _feature(batch.to_numpy(zero_copy_only=False)) + w[1]), pa.float64())
+
+        return model.differences(docs.withColumn("_fold", F.lit(None).cast("int"))).withColumn("_score", weigh("_difference")).drop("_fold", "_difference")
     sent = docs.sparkSession.sparkContext.broadcast((model.without(None).ratio, w))
 
     @arrow_udf("double")

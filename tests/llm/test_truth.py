@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestone.llm import ann, decontam, langid, packing, quality, simhash, suffixdedup, toxicity
 from lodestone.llm.common import table
@@ -209,6 +210,32 @@ def test_held_out_accuracy(spark):
     assert np.mean([a == b for a, b in lang]) >= 0.97
 
 
+def test_toxicity_keeps_rare_expressions(spark):
+    """An expression of five toxic documents counts, however many others the class has."""
+    rng = np.random.default_rng(6)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:100]
+    made = [(i, "plain common words here") for i in ids[:80]]
+    for n, i in enumerate(ids[80:]):
+        words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (30_000, 9))]
+        made.append((i, " ".join([*words, *["vexing"] * (n < 8)])))
+    docs = spark.createDataFrame([*made, (1000, "vexing"), (1001, "unseen")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(n >= 80)) for n, i in enumerate(ids)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.op3_toxicity(docs, labels).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001]
+
+
+def test_toxicity_shuffled_equals_sent(spark, monkeypatch):
+    docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    docs = docs.unionByName(docs.where("doc_id % 50 = 0").withColumn("text", F.lit(None).cast("string")))
+    sent = toxicity.filter_toxic(docs, labels)
+    scores = sorted((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in toxicity.op3_toxicity(docs, labels).collect())
+    monkeypatch.setattr(toxicity, "SENT", 0)
+    monkeypatch.setattr(toxicity, "GROUP", 50)
+    assert sorted((r.doc_id, r.held_out, round(r.score, 9), r.predicted) for r in toxicity.op3_toxicity(docs, labels).collect()) == scores
+    kept = toxicity.filter_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, sent.collect()))
+
+
 def test_held_out_is_crc32(docs):
     for r in langid.op2_language_id(docs).collect():
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
