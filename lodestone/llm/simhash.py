@@ -7,7 +7,8 @@ Buckets with more than SMALL members are dealt anew under finer keys that leave
 such bucket can hold more than 2 ** (4 * distance) fingerprints.
 
 Nulls: a null text has no words, fingerprint 0. Repeated rows keep their rows. An empty table gives no rows. The
-component id is the smallest non-null doc_id of the component. Extra columns are ignored.
+component id is the smallest non-null doc_id of the component, null if it has none; keep_one() goes by components, so two
+components without ids, or with one id, keep a row each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,7 +127,8 @@ def links(fps: DataFrame, distance: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Smallest label of each node's component. nodes: (fp, label), edges: (a, b); rows (fp, label) of nodes with edges.
+    """Smallest label of each node's component. nodes: (fp, label), edges: (a, b); rows (fp, label, r) of nodes with edges,
+    r one fingerprint for all of a component.
 
     Hooks each root onto the smallest neighbouring root and halves paths, so rounds grow with the logarithm of a
     component's width. Each round is written to the shared folder.
@@ -135,7 +137,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     pairs = materialise(both, "edges")
     if pairs.isEmpty():
-        return nodes.limit(0)
+        return nodes.limit(0).withColumn("r", F.col("fp"))
     root = pairs.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("r"))
     root = materialise(root.select(F.col("a").alias("fp"), "r"), "roots")
     while True:
@@ -151,18 +153,18 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             hooked = hooked.join(up, "r", "left").select("fp", F.coalesce("rr", "r").alias("r"))
         root = materialise(hooked, "roots")
     top = root.join(nodes, "fp").groupBy("r").agg(F.min("label").alias("label"))
-    return root.join(top, "r").select("fp", "label")
+    return root.join(top, "r").select("fp", "label", "r")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """Per document: doc_id, text_hash (xxhash64 of the text, null: of the empty text), fp long, component_id."""
+    """Per document: doc_id, text_hash (xxhash64 of the text, null: of the empty text), fp long, component_id, component (never null)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fingerprint_udf("text").alias("x"))
     rows = materialise(rows.select("doc_id", "text_hash", "x.fp"), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("label")), "distinct-fingerprints")
     linked = components(links(nodes.select("fp"), distance), nodes)
-    named = nodes.join(linked.withColumnRenamed("label", "lower"), "fp", "left").select("fp", F.coalesce("lower", "label").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = nodes.join(linked.withColumnRenamed("label", "lower"), "fp", "left").select("fp", F.coalesce("lower", "label").alias("component_id"), F.coalesce("r", "fp").alias("component"))
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
 def op9_simhash(docs: DataFrame) -> DataFrame:
@@ -173,7 +175,7 @@ def op9_simhash(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     """The documents, one of each component: its smallest doc_id, and of rows that share that id the smallest text hash."""
     found = near_duplicates(docs, distance)
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "text_hash", "doc_id")).alias("m"))
+    keep = found.groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "text_hash", "doc_id")).alias("m"))
     keep = keep.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.text_hash").alias("_keep_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi")

@@ -130,6 +130,14 @@ def test_simhash(odd, none):
     assert kept.columns == odd.drop("_text_hash").columns and [r.doc_id for r in kept.collect()].count(4) == 1
 
 
+def test_keep_one_without_ids(spark):
+    """Components whose rows have no id, or share one, are still told apart."""
+    a, b, c, d = (" ".join(random.Random(i).choices(["".join(random.Random(j).choices("abcdefgh", k=6)) for j in range(500)], k=60)) for i in range(4))
+    made = [(None, a, "en", "a", 1), (None, a, "en", "a", 1), (None, b, "en", "a", 1), (None, None, "en", "a", 0), (9, c, "en", "a", 1), (9, d, "en", "a", 1), (None, d, "en", "a", 1)]
+    kept = simhash.keep_one(spark.createDataFrame(made, DOCS)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(None, a), (None, b), (None, None), (9, c), (9, d)], key=str)
+
+
 def test_ann(spark):
     v = [1.0, 0.0, 0.5]
     made = [(0, v), (50, v), (7, v), (8, [2.0, 0.0, 1.0]), (100, None), (150, [0.0, 0.0, 0.0]), (200, [1.0, None, 0.0]), (250, [float("nan"), 1.0, 1.0]), (9, [1.0]), (None, v), (3, [-1.0, 1.0, 0.0]), (3, [-1.0, 1.0, 0.0]), (300, [float("inf"), 1.0, 1.0])]
