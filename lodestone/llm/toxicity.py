@@ -1,10 +1,10 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by ratios of discounted document counts. Not Kneser-Ney models: nothing is conditional, nothing a continuation count.
 
 Two models, of toxic and of ordinary labelled documents, over expressions: pairs of words, words, and word beginnings.
-As in Kneser-Ney smoothing counts are of contexts, here the documents that hold an expression, not of tokens. From each
+Counts are of the documents that hold an expression, not of tokens. From each
 class count comes off a discount: SHARE times what the counts of both classes together make expected, plus DISCOUNT.
 What is left is the class's own probability; all that was discounted stays in one shared backoff count which both models
-use alike. So an expression that is rare, or no more frequent in one class than SHARE times the other, has the same
+use alike. A class with 1 / SHARE of the labelled documents or more has no own counts. So an expression that is rare, or no more frequent in one class than SHARE times the other, has the same
 probability under both. An expression that has no own count backs off from pair to word to beginnings of 7, 6, 5 letters.
 
 Counts cover every labelled document outside the held-out fold and are aggregated in a shuffle that grows with them.
