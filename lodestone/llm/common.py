@@ -47,6 +47,32 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a shuffled join may bring into one task; keys with more rows, and a 65,536th of all, are broadcast.
+HOT_ROWS = 1_000
+
+
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of rows (total of them) with table, which has each key once, with how many of the rows hold it as n.
+
+    A key with more than total / 65,536 rows is hot. There are fewer than 65,536 of those, whatever the data, so their
+    side of the join is broadcast and their rows stay where they are. Both tables are read twice: give materialised ones.
+    """
+    cut = max(HOT_ROWS, total >> 16)
+    hot = table.where(F.col("n") > F.lit(cut))
+    if hot.isEmpty():
+        return rows.join(table, keys)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col("n") <= F.lit(cut)), keys)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as make it differ from all columns of docs."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4

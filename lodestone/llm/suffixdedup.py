@@ -5,22 +5,27 @@ machine, so suffixes first meet where they can match at all:
 
 1. Each string of min_bytes (a window) picks its smallest hashed piece of half its length, the leftmost of equals, as its
    anchor. Equal windows have equal anchors at equal places, whatever surrounds them. Neighbouring windows mostly share
-   their anchor, so a document is covered by one row for every hundred bytes or so: anchor hash, range of window starts, and
-   a hash of the whole stretch of bytes that those windows cover.
-2. Anchors that occur once have no repeat. Of those that share their stretch too (copies), one stands for all, and all their
-   windows are repeats; this is counted with pre-aggregation, so hot passages are a row a task.
-3. Where one anchor has several different stretches, a suffix array over the bytes of those stretches is built, batch by
-   batch. In suffix order a run of windows with a common prefix of min_bytes or more holds every match that counts, so
-   previous and next smaller positions are looked for within runs: a window has a longest previous factor of at least
-   min_bytes if a smaller position is in its run, a longest later one if a larger is. Positions are in corpus order.
+   their anchor, so a document is covered by one row for every hundred bytes or so: anchor hash, range of window starts,
+   and the 128-bit digest of the whole stretch of bytes that those windows cover. Adjacent rows with one anchor and one
+   digest (a text that repeats itself with a short period) are one row with a count.
+2. Anchors that occur once have no repeat. Of those that share their stretch too (copies), one stands for all: a later
+   copy's longest previous factor is the stretch. They are counted with pre-aggregation, so hot passages are a row a task.
+3. Where one anchor has several different stretches, blocks of whole anchors get a suffix array (prefix doubling), and from
+   it the longest-previous-factor array: in suffix order, the previous and the next smaller position of a window are the
+   candidates with the longest common prefix, and the larger of the two lengths is its factor. The same with larger
+   positions gives the longest later factor. Lengths are exact up to the first power of two times 7 bytes that is not
+   under min_bytes. Positions are in corpus order.
 4. An anchor with more than MAX_STRETCHES different stretches would be too much for one task; its windows are hashed (128
    bits) and counted in a shuffle instead, which finds the same windows.
 
-With keep_first the earliest copy (by doc_id, then place) stays and later ones go; without, every copy goes. Strings are
-judged on the input and never cross documents.
+With keep_first the earliest copy (by doc_id, then 128-bit hash of the text, then place) stays and later ones go;
+without, every copy goes. Strings are judged on the input and never cross documents. Joins on anchors and on stretches
+send the hottest keys by broadcast, at most 65,536 of them, so that no task gets all rows of one.
 
 Nulls: a null text is empty; a null doc_id sorts first. Repeated rows repeat each other's bytes, and rows with equal
-doc_id and text fare alike (with keep_first they count as one place). Empty tables give no rows. Other columns stay.
+doc_id and text fare alike (with keep_first they count as one place). Ties in the order of anchors go to the leftmost.
+Very long texts are cut into overlapping pieces of 1 MiB, with each window in exactly one. Empty tables give no rows.
+Other columns stay, whatever their names; if there is a column _repeats already, the result's is _repeats_.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import materialise
+from .common import fresh, hot_join, materialise
 
 #: Different stretches of one anchor that a suffix array takes, at most (600 bytes each).
 MAX_STRETCHES = 4096
@@ -52,15 +57,15 @@ _NO_ID = -(1 << 63)
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, ...]:
-    """Random values of bytes for two hashes, powers of an odd base and of its inverse modulo 2**64."""
+    """Random values of bytes for the hash of anchors, powers of an odd base and of its inverse modulo 2**64."""
     rng = np.random.default_rng(20240229)
-    values = rng.integers(1, 1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    values = rng.integers(1, 1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = 0x9E3779B97F4A7C15 | 5
     inverse = pow(base, -1, 1 << 64)
     n = _BUFFER + (1 << 16)
     power, back = np.full(n, base, dtype=np.uint64), np.full(n, inverse, dtype=np.uint64)
     power[0] = back[0] = 1
-    return values[0], values[1], np.multiply.accumulate(power), np.multiply.accumulate(back)
+    return values, np.multiply.accumulate(power), np.multiply.accumulate(back)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,35 +87,41 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(pieces: list[tuple[int, int, bytes]], size: int) -> tuple[np.ndarray, ...]:
-    """Anchors of pieces (document, offset, bytes): document, first and last window start, anchor hash, stretch hash."""
+    """Anchors of pieces (document, offset, bytes): document, first and last window start of the first stretch, how many
+    equal stretches follow each other, anchor hash, and the two halves of the stretch's digest."""
     k = size // 2
     w = size - k + 1
-    data = np.frombuffer(b"".join(p[2] for p in pieces), dtype=np.uint8)
+    joined = b"".join(p[2] for p in pieces)
+    data = np.frombuffer(joined, dtype=np.uint8)
     n = len(data)
     if n < size:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(7))
     lengths = np.array([len(p[2]) for p in pieces])
     ends = np.cumsum(lengths)
-    one, two, power, back = _tables()
+    values, power, back = _tables()
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(one[data] * power[:n], out=sums[1:])
+    np.cumsum(values[data] * power[:n], out=sums[1:])
     grams = (sums[k:] - sums[:-k]) * back[: n - k + 1]
     order = (_mix(grams) & ~_PLACE) | np.arange(len(grams), dtype=np.uint64)
     least = (_sliding_min(order, w) & _PLACE).astype(np.int64)  # anchor of the window that starts here
     piece = np.repeat(np.arange(len(pieces)), lengths)[: len(least)]
     starts = np.flatnonzero(np.arange(len(least)) + size <= ends[piece])
     if not len(starts):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(7))
     at = least[starts]
     new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(starts, prepend=-2) != 1))
     first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
     at = at[new]
-    np.cumsum(two[data] * power[:n], out=sums[1:])
-    whole = (sums[last + size] - sums[first]) * back[first]
-    whole = _mix(whole ^ _mix((last - first).astype(np.uint64) << np.uint64(20) | (at - first).astype(np.uint64)))
-    offset = np.array([p[1] for p in pieces])[piece[first]] - (ends - lengths)[piece[first]]
-    documents = np.array([p[0] for p in pieces])[piece[first]]
-    return documents, first + offset, last + offset, _mix(grams[at] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64), whole.view(np.int64)
+    view, digest = memoryview(joined), xxhash.xxh3_128_digest
+    digests = b"".join([digest(view[a:b]) for a, b in zip(first.tolist(), (last + size).tolist(), strict=True)])
+    u = np.frombuffer(digests, dtype=np.int64).reshape(-1, 2)
+    a = _mix(grams[at] ^ np.uint64(0x5851F42D4C957F2D)).view(np.int64)
+    owner = piece[first]
+    follows = (owner[1:] == owner[:-1]) & (first[1:] == last[:-1] + 1) & (a[1:] == a[:-1]) & (u[1:] == u[:-1]).all(1)
+    head = np.flatnonzero(np.concatenate(([True], ~follows)))
+    times = np.diff(np.append(head, len(first)))
+    offset = (np.array([p[1] for p in pieces]) - (ends - lengths))[owner[head]]
+    return np.array([p[0] for p in pieces])[owner[head]], first[head] + offset, last[head] + offset, times, a[head], u[head, 0], u[head, 1]
 
 
 def _pieces(documents: Iterator[tuple[int, bytes]], size: int) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -132,64 +143,114 @@ def _pieces(documents: Iterator[tuple[int, bytes]], size: int) -> Iterator[list[
         yield batch
 
 
+_KEY = ("d", "k1", "k2")  # a row: its doc_id and 128 bits of its text
+_STRETCH = ("u1", "u2")
+
+
 def _anchors(docs: DataFrame, size: int) -> DataFrame:
-    schema = pa.schema([("d", pa.int64()), ("th", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("a", pa.int64()), ("u", pa.int64())])
+    names = [*_KEY, "s0", "s1", "times", "a", *_STRETCH]
+    schema = pa.schema([(c, pa.int64()) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            texts = ((i, batch.column(2)[i].as_py()) for i in range(batch.num_rows))
+            keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(3)]
+            texts = ((i, batch.column(3)[i].as_py()) for i in range(batch.num_rows))
             for pieces in _pieces(((i, t) for i, t in texts if t), size):
-                rows, s0, s1, a, u = anchors_of(pieces, size)
+                rows, *found = anchors_of(pieces, size)
                 if len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids[rows], hashes[rows], s0, s1, a, u), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*(k[rows] for k in keys), *found)], schema=schema)
 
-    return docs.select(_id(), _hash(), F.col("text").cast("string").cast("binary")).where(F.octet_length("text") >= size).mapInArrow(run, "d long, th int, s0 long, s1 long, a long, u long")
+    return _keyed(docs).where(F.octet_length("text") >= size).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The row's key and the bytes of its text."""
+    text = F.col("text").cast("string")
+    return docs.select(*_row_key(F.col("doc_id"), text), text.cast("binary").alias("text"))
 
 
-def _hash() -> Column:
-    return F.hash(F.col("text").cast("string")).alias("th")
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    return [F.coalesce(doc_id.cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("again"), text).alias("k2")]
 
 
-def suffix_ranks(data: np.ndarray, size: int) -> np.ndarray:
-    """For each position its place in the order of suffixes by their first `size` bytes; equal ones share a place.
+class SuffixOrder:
+    """Order of the suffixes of strings, each ending with its string, by their first `depth` bytes (at least `size`).
 
-    Prefix doubling from 8-byte words; bytes past the end count as zero.
+    Prefix doubling from 7-byte words, whose eighth byte tells how many of them are in the string; the ranks of each step
+    are kept for longest common prefixes.
     """
-    n = len(data)
-    padded = np.zeros(n + 8, dtype=np.uint8)
-    padded[:n] = data
-    words = np.ndarray((n,), dtype=">u8", buffer=padded.data, strides=(1,))
-    rank = np.unique(words.astype(np.uint64), return_inverse=True)[1].astype(np.int64)
-    depth = 8
-    while depth < size:
-        step = min(depth, size - depth)
-        ahead = np.zeros(n, dtype=np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        rank = np.unique(rank * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    return rank
-
-
-def factors(stretches: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, earlier, later) of all windows of the stretches in their order: whether a longest previous factor, or
-    a longest later one, of at least `size` bytes starts there. Positions are in the stretches run together."""
-    data = np.frombuffer(b"".join(stretches), dtype=np.uint8)
-    lengths = np.array([len(s) for s in stretches])
-    ends = np.cumsum(lengths)
-    windows = np.arange(len(data)) + size <= np.repeat(ends, lengths)
-    at = np.flatnonzero(windows)
-    rank = suffix_ranks(data, size)[at]
-    suffixes = np.lexsort((at, rank))  # the suffix array of the windows, equal prefixes in the order of position
-    same = np.diff(rank[suffixes]) == 0  # neighbours with a longest common prefix of size or more
-    earlier, later = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
-    earlier[suffixes[1:]] = same  # the previous smaller position lies in the run
-    later[suffixes[:-1]] = same
-    return at, earlier, later
+
+    def __init__(self, strings: list[bytes], size: int):
+        data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+        lengths = np.array([len(x) for x in strings])
+        n = len(data)
+        self.rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)  # bytes up to the string's end
+        padded = np.zeros(n + 8, dtype=np.uint8)
+        padded[:n] = data
+        words = np.ndarray((n,), dtype=">u8", buffer=padded.data, strides=(1,)).astype(np.uint64)
+        held = np.minimum(self.rest, 7).astype(np.uint64)
+        words &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - held) % np.uint64(64))) - np.uint64(1))
+        self.words = words | held
+        rank = np.unique(self.words, return_inverse=True)[1]
+        self.steps = [(7, rank.astype(np.int32))]
+        depth = 7
+        while depth < size:
+            ahead = np.zeros(n, dtype=np.int64)
+            inside = np.flatnonzero(self.rest > depth)
+            ahead[inside] = rank[inside + depth] + 1
+            rank = np.unique(rank.astype(np.int64) * (n + 1) + ahead, return_inverse=True)[1]
+            depth *= 2
+            self.steps.append((depth, rank.astype(np.int32)))
+        self.rank, self.depth = rank, depth
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Lengths of the longest common prefixes of suffixes i and j, up to the order's depth; -1 for either is no suffix."""
+        out = np.zeros(len(i), dtype=np.int64)
+        live = np.flatnonzero((i >= 0) & (j >= 0))
+        i, j = i[live], j[live]
+        for depth, rank in reversed(self.steps):
+            same = rank[i] == rank[j]
+            step = np.where(same, np.minimum(depth, self.rest[i]), 0)
+            out[live] += step
+            on = (step < self.rest[i]) & (step < self.rest[j]) & (out[live] < self.depth)
+            live, i, j = live[on], (i + step)[on], (j + step)[on]
+        differ = self.words[i] ^ self.words[j]
+        rest = np.minimum(np.minimum(self.rest[i], self.rest[j]), 7)
+        for k in range(7):  # what is left differs within one word
+            out[live] += (k < rest) & (differ >> np.uint64(56 - 8 * k) == 0)
+        return np.minimum(out, self.depth)
+
+
+def nearest_smaller(x: np.ndarray) -> np.ndarray:
+    """Index of the previous smaller value of each, or -1, by pointer jumping: what lies between is always larger."""
+    before = np.arange(len(x)) - 1
+    on = np.flatnonzero(before >= 0)
+    while len(on):
+        on = on[x[before[on]] >= x[on]]
+        before[on] = before[before[on]]
+        on = on[before[on] >= 0]
+    return before
+
+
+def factors(strings: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, previous, later) of all windows of `size` bytes, in the order of the strings run together: the longest
+    previous and the longest later factor of each, as lengths up to the depth of the suffix order."""
+    order = SuffixOrder(strings, size)
+    at = np.flatnonzero(order.rest >= size)
+    suffixes = at[np.lexsort((at, order.rank[at]))]  # the suffix array of the windows
+    n = len(suffixes)
+
+    def longest(values: np.ndarray) -> np.ndarray:
+        below, above = nearest_smaller(values), n - 1 - nearest_smaller(values[::-1])[::-1]
+        left = np.where(below >= 0, suffixes[below], -1)
+        right = np.where(above < n, suffixes[np.minimum(above, n - 1)], -1)
+        return np.maximum(order.common(suffixes, left), order.common(suffixes, right))
+
+    previous, later = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    where = np.argsort(suffixes)
+    previous[:] = longest(suffixes)[where]
+    later[:] = longest(-suffixes)[where]
+    return at, previous, later
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
@@ -199,11 +260,12 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(starts[np.concatenate(([0], cut))].tolist(), starts[np.concatenate((cut - 1, [len(starts) - 1]))].tolist(), strict=True))
 
 
-_SPANS = pa.schema([("d", pa.int64()), ("th", pa.int32()), ("b", pa.int64()), ("e", pa.int64())])
+_SPANS = pa.schema([(c, pa.int64()) for c in (*_KEY, "b", "e")])
+_SPAN_TYPE = ", ".join(f"{c} long" for c in _SPANS.names)
 
 
-def _verify(stretches: DataFrame, size: int, keep_first: bool) -> DataFrame:
-    """Spans (d, th, b, e) of repeated windows. stretches: a, d, th, s0, u, bytes; all of an anchor's in one partition, in corpus order."""
+def _by_factors(stretches: DataFrame, size: int, keep_first: bool) -> DataFrame:
+    """Spans of windows whose factors are long enough; an anchor's stretches meet in one block, in corpus order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -211,80 +273,85 @@ def _verify(stretches: DataFrame, size: int, keep_first: bool) -> DataFrame:
         seen: set = set()
 
         def close() -> pa.RecordBatch:
-            held.sort(key=lambda r: r[:3])
-            at, earlier, later = factors([r[3] for r in held], size)
-            hit = at[earlier] if keep_first else at[earlier | later]
-            begins = np.cumsum([0, *(len(r[3]) for r in held)])
+            held.sort(key=lambda r: r[0])
+            at, previous, later = factors([r[1] for r in held], size)
+            hit = at[previous >= size] if keep_first else at[np.maximum(previous, later) >= size]
+            begins = np.cumsum([0, *(len(r[1]) for r in held)])
             owner = np.searchsorted(begins, hit, side="right") - 1
+            cuts = np.flatnonzero(np.diff(owner)) + 1
             out = []
-            for i in np.unique(owner):
-                d, th, s0, _ = held[i]
-                out += [(d, th, s0 + x, s0 + y + size) for x, y in _runs(hit[owner == i] - begins[i])]
+            for windows, i in zip(np.split(hit, cuts), owner[np.concatenate(([0], cuts))] if len(hit) else [], strict=False):
+                *row, s0 = held[i][0]
+                out += [(*row, s0 + x, s0 + y + size) for x, y in _runs(windows - begins[i])]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_SPANS)], schema=_SPANS)
 
         for batch in batches:
-            for a, d, th, s0, u, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for a, u1, u2, d, k1, k2, s0, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != key:
                     if total >= BATCH_BYTES:
                         yield close()
                         total = 0
                     key, seen = a, set()
-                if u in seen:  # rows with equal doc_id and text
+                if (u1, u2) in seen:  # rows with equal doc_id and text
                     continue
-                seen.add(u)
-                held.append((d, th, s0, data))
+                seen.add((u1, u2))
+                held.append(((d, k1, k2, s0), data))
                 total += len(data)
         if held:
             yield close()
 
     placed = stretches.repartition("a").sortWithinPartitions("a")
-    return placed.select("a", "d", "th", "s0", "u", "bytes").mapInArrow(run, "d long, th int, b long, e long")
+    return placed.select("a", *_STRETCH, *_KEY, "s0", "bytes").mapInArrow(run, _SPAN_TYPE)
 
 
-def _hashed(stretches: DataFrame, size: int, keep_first: bool) -> DataFrame:
+def _by_hashes(stretches: DataFrame, size: int, keep_first: bool) -> DataFrame:
     """The same spans by 128-bit hashes of windows, for anchors with too many stretches."""
-    schema = pa.schema([("w", pa.binary()), ("d", pa.int64()), ("th", pa.int32()), ("s", pa.int64())])
+    schema = pa.schema([("w", pa.binary()), *((c, pa.int64()) for c in (*_KEY, "s"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                d, th, s0, data = (batch.column(i)[row].as_py() for i in range(4))
+            for *row, s0, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 n = len(data) - size + 1
                 hashes = [xxhash.xxh3_128_digest(data[i : i + size]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array([d] * n, pa.int64()), pa.array([th] * n, pa.int32()), pa.array(range(s0, s0 + n), pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), *(pa.array([x] * n, pa.int64()) for x in row), pa.array(range(s0, s0 + n), pa.int64())], schema=schema)
 
-    windows = stretches.dropDuplicates(["a", "u"]).select("d", "th", "s0", "bytes").mapInArrow(run, "w binary, d long, th int, s long")
-    repeated = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "th", "s")).alias("first")).where(F.col("n") > 1).select("w", "first")
-    hits = windows.join(repeated, "w")
+    windows = stretches.dropDuplicates(["a", *_STRETCH]).select(*_KEY, "s0", "bytes").mapInArrow(run, "w binary, " + ", ".join(f"{c} long" for c in (*_KEY, "s")))
+    windows = materialise(windows, "hot-windows")
+    repeated = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_KEY, "s")).alias("first")).where(F.col("n") > 1)
+    hits = hot_join(windows, materialise(repeated, "hot-repeats"), ["w"], windows.count())
     if keep_first:
-        hits = hits.where(F.struct("d", "th", "s") != F.col("first"))
-    return hits.select("d", "th", F.col("s").alias("b"), (F.col("s") + size).alias("e"))
+        hits = hits.where(F.struct(*_KEY, "s") != F.col("first"))
+    return hits.select(*_KEY, F.col("s").alias("b"), (F.col("s") + size).alias("e"))
 
 
 def repeated_spans(docs: DataFrame, size: int, keep_first: bool) -> DataFrame:
-    """Spans (d, th, b, e) of bytes to remove, which may overlap, by document (id, hash of the text)."""
+    """Spans (d, k1, k2, b, e) of bytes to remove, which may overlap, by row."""
     anchors = materialise(_anchors(docs, size), "anchors")
-    repeated = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("a")
-    found = materialise(anchors.join(repeated, "a"), "repeated-anchors")
-    classes = found.groupBy("a", "u").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "th", "s0", "s1")).alias("first"))
+    repeated = anchors.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("all")).where("all > 1").select("a", "n")
+    found = materialise(hot_join(anchors, materialise(repeated, "repeats"), ["a"], anchors.count()).drop("n"), "repeated-anchors")
+    place = F.struct(*_KEY, "s0", "s1")
+    classes = found.groupBy("a", *_STRETCH).agg(F.count(F.lit(1)).alias("n"), F.sum("times").alias("all"), F.min(place).alias("first"))
     classes = materialise(classes, "stretches")
-    copies = classes.where("n > 1").select("a", "u", "first")
-    copied = found.join(copies, ["a", "u"])
+    copies = materialise(classes.where("all > 1").select("a", *_STRETCH, "n", F.col("first").alias("earliest")), "copies")
+    copied = hot_join(found, copies, ["a", *_STRETCH], found.count())
+    step = F.col("s1") - F.col("s0") + 1
+    begin = F.col("s0")
     if keep_first:
-        copied = copied.where(F.struct("d", "th", "s0") != F.struct("first.d", "first.th", "first.s0"))
-    spans = copied.select("d", "th", F.col("s0").alias("b"), (F.col("s1") + size).alias("e"))
-    several = classes.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
-    needed = classes.join(several, "a").select("a", "u", "k", "first.*")
-    needed = materialise(needed, "different-stretches")
-    many = needed.count()
-    side = F.broadcast(needed) if many <= BROADCAST_ROWS else needed
-    texts = docs.select(_id(), _hash(), F.col("text").cast("string").cast("binary").alias("text"))
-    fetched = texts.join(side, ["d", "th"]).select("a", "u", "k", "d", "th", "s0", F.substring("text", F.col("s0").cast("int") + 1, (F.col("s1") - F.col("s0")).cast("int") + size).alias("bytes"))
+        earliest = place == F.col("earliest")
+        copied = copied.where(~earliest | (F.col("times") > 1))
+        begin = F.when(earliest, F.col("s0") + step).otherwise(F.col("s0"))
+    spans = copied.select(*_KEY, begin.alias("b"), (F.col("s0") + step * F.col("times") - 1 + size).alias("e"))
+    several = materialise(classes.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    needed = hot_join(classes.select("a", *_STRETCH, "first"), several, ["a"], classes.count())
+    needed = materialise(needed.select("a", *_STRETCH, "n", "first.*"), "different-stretches")
+    side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    bytes_ = F.substring("text", F.col("s0").cast("int") + 1, (F.col("s1") - F.col("s0")).cast("int") + size)
+    fetched = _keyed(docs).join(side, [*_KEY]).select("a", *_STRETCH, "n", *_KEY, "s0", bytes_.alias("bytes"))
     fetched = materialise(fetched, "stretch-bytes")
-    spans = spans.unionByName(_verify(fetched.where(F.col("k") <= MAX_STRETCHES), size, keep_first))
-    if not needed.where(F.col("k") > MAX_STRETCHES).isEmpty():
-        spans = spans.unionByName(_hashed(fetched.where(F.col("k") > MAX_STRETCHES), size, keep_first))
+    spans = spans.unionByName(_by_factors(fetched.where(F.col("n") <= MAX_STRETCHES), size, keep_first))
+    if not several.where(F.col("n") > MAX_STRETCHES).isEmpty():
+        spans = spans.unionByName(_by_hashes(fetched.where(F.col("n") > MAX_STRETCHES), size, keep_first))
     return spans
 
 
@@ -313,12 +380,15 @@ def _cut(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.
 def remove_repeats(docs: DataFrame, min_bytes: int = 400, keep_first: bool = True) -> DataFrame:
     """The documents with a struct column _repeats: n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     spans = repeated_spans(docs.select("doc_id", "text"), min_bytes, keep_first)
-    by_doc = spans.groupBy("d", "th").agg(F.collect_set(F.struct("b", "e")).alias("_spans")).select(F.col("d").alias("_d"), F.col("th").alias("_th"), "_spans")
-    joined = docs.join(by_doc, (_id() == F.col("_d")) & (_hash() == F.col("_th")), "left")
+    by_doc = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
+    text = F.col("doc_id"), F.col("text").cast("string")
+    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_row_key(*text))
     cut = arrow_udf(_cut, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:binary>").asNondeterministic()
-    return joined.withColumn("_repeats", cut(F.col("text").cast("string"), F.col("_spans.b"), F.col("_spans.e"))).drop("_d", "_th", "_spans")
+    done = packed.join(by_doc, [*_KEY], "left").select("row", cut(F.col("row.text").cast("string"), F.col("spans.b"), F.col("spans.e")).alias("done"))
+    return done.select("row.*", F.col("done").alias(fresh(docs, "_repeats")))
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:
+    """The contract's columns, and the text that is left (bytes of characters that were cut in two are replaced)."""
     done = remove_repeats(docs.select("doc_id", "text"), 400, keep_first=False)
-    return done.select("doc_id", *[F.col(f"_repeats.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+    return done.select("doc_id", *[F.col(f"_repeats.{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")], F.make_valid_utf8(F.col("_repeats.kept").cast("string")).alias("text"))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, decontam, langid, packing, quality, simhash, suffixdedup, toxicity
+from lodestone.llm import ann, common, decontam, langid, packing, quality, simhash, suffixdedup, toxicity
 from lodestone.llm.common import table
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -69,31 +69,66 @@ def test_recut_bounds_open_windows(monkeypatch):
     assert all((s := sum(len(p[2]) // 4 for p in w)) == 64 or s & (s - 1) == 0 for w in out)
 
 
-@pytest.mark.parametrize("most", [4096, 1])
-def test_suffix_dedup_against_all_windows(docs, monkeypatch, most):
+def removed_by_all_windows(texts, size, keep_first):
+    """(removed mask) of each text; texts in corpus order."""
+    seen = collections.defaultdict(list)
+    for n, b in enumerate(texts):
+        for i in range(len(b) - size + 1):
+            seen[b[i : i + size]].append((n, i))
+    marks = [np.zeros(len(b), dtype=bool) for b in texts]
+    for places in seen.values():
+        for n, i in places[1 if keep_first else 0 :] if len(places) > 1 else []:
+            marks[n][i : i + size] = True
+    return marks
+
+
+@pytest.mark.parametrize(("most", "hot"), [(4096, 1000), (1, 1000), (4096, 1), (1, 1)])
+def test_suffix_dedup_against_all_windows(docs, monkeypatch, most, hot):
+    """With the suffix arrays, without them, and with all keys hot."""
     monkeypatch.setattr(suffixdedup, "MAX_STRETCHES", most)
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
-    seen = collections.Counter(b[i : i + 400] for _, b in texts for i in range(len(b) - 399))
+    marks = removed_by_all_windows([b for _, b in texts], 400, False)
     got = {r.doc_id: r for r in suffixdedup.op8_suffix_dedup(docs).collect()}
-    for doc_id, b in texts:
-        mark = np.zeros(len(b), dtype=bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                mark[i : i + 400] = True
+    for (doc_id, b), mark in zip(texts, marks, strict=True):
         r = got[doc_id]
         spans = int((np.diff(mark.astype(int), prepend=0) == 1).sum())
         kept = bytes(np.frombuffer(b, dtype=np.uint8)[~mark])
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(b), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest())
+        assert r.text.encode().replace("\ufffd".encode(), b"") in (kept, kept.decode(errors="ignore").encode())
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_suffix_dedup_of_periodic_texts(spark, keep_first):
+    """Short periods, whose equal stretches follow each other, copies, and passages in different surroundings."""
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, other = word(60), word(45)
+    texts = ["ab" * 70, word(30) + "abc" * 50, "abc" * 50 + word(9), passage + word(20), word(31) + passage, other, other, word(25) + other + word(3), "short", "x" * 41, "x" * 39, "x" * 200]
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: bytes(r["_repeats"].kept) for r in suffixdedup.remove_repeats(made, 40, keep_first).collect()}
+    marks = removed_by_all_windows([t.encode() for t in texts], 40, keep_first)
+    assert got == {i: bytes(np.frombuffer(t.encode(), dtype=np.uint8)[~m]) for i, (t, m) in enumerate(zip(texts, marks, strict=True))}
 
 
-def test_suffix_order():
+def test_factors_against_all_pairs():
     rng = np.random.default_rng(5)
-    data = rng.integers(97, 99, 300).astype(np.uint8)
-    rank = suffixdedup.suffix_ranks(data, 20)
-    heads = [bytes(data[i : i + 20]).ljust(20, b"\0") for i in range(len(data))]
-    order = {h: i for i, h in enumerate(sorted(set(heads)))}
-    # suffixes that run into the end are told apart from zero bytes only by the data, which holds none
-    assert [order[h] for h in heads] == rank.tolist()
+    for trial in range(120):
+        size, letters = int(rng.integers(2, 21)), [[0, 1], [97, 98], [0, 255, 3]][trial % 3]
+        strings = [bytes(rng.choice(letters, int(rng.integers(size, 50))).astype(np.uint8)) for _ in range(int(rng.integers(1, 6)))]
+        strings += strings[:1] * int(rng.integers(0, 2))
+        depth = suffixdedup.SuffixOrder(strings, size).depth
+        places = [(s, i) for s in strings for i in range(len(s) - size + 1)]
+
+        def common_prefix(x, y):
+            a, b = x[0][x[1] :][:depth], y[0][y[1] :][:depth]
+            return next((k for k, (p, q) in enumerate(zip(a, b, strict=False)) if p != q), min(len(a), len(b)))
+
+        at, previous, later = suffixdedup.factors(strings, size)
+        assert len(at) == len(places)
+        for n, p in enumerate(places):
+            assert previous[n] == max((common_prefix(p, q) for q in places[:n]), default=0)
+            assert later[n] == max((common_prefix(p, q) for q in places[n + 1 :]), default=0)
 
 
 def test_simhash_against_all_pairs(docs):
