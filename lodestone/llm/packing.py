@@ -1,21 +1,28 @@
 """Sum-of-squares online packing of tokenised documents into fixed windows.
 
 Every document becomes its token ids followed by one end id. Full windows are cut off a long document first; what is
-left is placed into the window level (tokens already used) that keeps the sum of squared counts of partially filled
-windows smallest. Levels are tracked in one array. Partitions pack on their own, so no row is shuffled. Open windows
-are bounded: when there are too many, and at the end of a partition, they are cut anew into full windows.
-
-Nulls: a null text is the empty text and gives the end id alone. Repeated rows are packed once each. An empty table
-gives no rows. Extra columns are ignored.
+left is placed, whole, into the window level (tokens already used) that keeps the sum of squared counts of partially
+filled windows smallest; ties go to the fullest level. Levels are tracked in one array. Partitions pack on their own, so
+no row is shuffled.
+
+At the end of a partition windows stand as they were placed if they miss no more than PADDING tokens, or if their length
+is a power of two. The gaps of the others, fullest first, are filled from the emptiest, the only ones that are cut anew;
+what is left at last is cut into powers of two. The same is done, but for the last window, when more than OPEN_WINDOWS are
+open, which bounds a task's memory.
+
+Nulls: a null text is the empty text and gives the end id alone; a null doc_id is kept. Repeated rows are packed once
+each. Very long texts are encoded whole and cut into full windows. An empty table gives no rows. Extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -29,39 +36,38 @@ ARROW = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("sequence_tokens", pa.int64())]
 )
 
-#: Open windows kept at most before they are cut anew into full ones: bounds the memory of a task.
-OPEN_WINDOWS = 2048
+#: Open windows kept at most (4 * size bytes of ids each) before the emptiest fill the others.
+OPEN_WINDOWS = 8192
+#: Tokens that a window may miss when it is closed at the end; they are padding.
+PADDING = 16
 
 #: Cached words of a tokenising process.
 CACHED = 500_000
 
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split() only
+_PLAIN = re.compile("[!-~]*")
 
 
 class Encoder:
     """Token ids of whole texts as little-endian uint32 bytes, word by word with a cache.
 
-    Holds for tokenizers whose tokens never cross white space and that fold NFC then lower case, like word_bpe_49k;
-    checked against the tokenizer itself on the tokenizer's own settings when built.
+    Holds for tokenizers whose tokens never cross white space and that fold NFC then lower case, like word_bpe_49k; others
+    encode the text as it is. Words of printable ASCII are split here, all others are the tokenizer's own work, so that
+    no second table of Unicode properties has a say.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        spec = self.tokenizer.to_str()
-        import json
-
-        spec = json.loads(spec)
+        spec = json.loads(self.tokenizer.to_str())
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         if self.by_word:
             self.split = regex.compile(steps[0]["pattern"]["Regex"])
-            self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -73,16 +79,14 @@ class Encoder:
         if got is None:
             if len(self.pieces) >= CACHED:
                 self.pieces.clear()
-            shown = text if text.isascii() else self.bytes.pre_tokenize_str(text)[0][0]
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], dtype="<u4").tobytes()
+            got = np.array([t.id for t in self.tokenizer.model.tokenize(text)], dtype="<u4").tobytes()
             self.pieces[text] = got
         return got
 
     def word(self, text: str) -> bytes:
-        if "<|" in text and any(s in text for s in self.special):
+        if not _PLAIN.fullmatch(text) or ("<" in text and any(s in text for s in self.special)):
             return self.whole(text)
-        folded = text.lower() if text.isascii() else "".join(c.lower() for c in normalize("NFC", text))
-        return b"".join(map(self.piece, self.split.findall(folded)))
+        return b"".join(map(self.piece, self.split.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or _ODD_SPACE.search(text):
@@ -137,7 +141,7 @@ class Packer:
             self.open[h + n].append(window)
             c[h + n] += 1
             if self.held > OPEN_WINDOWS:
-                yield from self.recut(final=False)
+                yield from self.settle(final=False)
 
     def add(self, document: tuple, ids: bytes) -> Iterator[list]:
         n, full = len(ids) // 4, self.size
@@ -148,45 +152,63 @@ class Packer:
         if n > at:
             yield from self.place((document, at, ids[4 * at :]), n - at)
 
-    def recut(self, final: bool) -> Iterator[list]:
-        """The open windows, fullest first, run together and cut into full windows; at the end the rest into powers of two."""
-        pieces = [p for level in reversed(self.open) for window in level for p in window]
-        self.open = [[] for _ in range(self.size)]
+    def settle(self, final: bool) -> Iterator[list]:
+        """Closes the open windows: those that may stand as they are, the others filled from the emptiest.
+
+        The last one stays open, or is cut into powers of two at the end.
+        """
+        size = self.size
+        queue = deque((level, window) for level in range(size - 1, 0, -1) for window in self.open[level])
+        self.open = [[] for _ in range(size)]
         self.count[:] = 0
         self.held = 0
-        window: list = []
-        total = sum(len(p[2]) // 4 for p in pieces)
-        whole, rest = divmod(total, self.size)
-        lengths = [self.size] * whole + [1 << b for b in range(self.size.bit_length(), -1, -1) if rest >> b & 1]
-        if not final and rest:  # the rest stays open as one window
-            lengths = [self.size] * whole + [rest]
-        turn, room = 0, lengths[0] if lengths else 0
-        for document, start, ids in pieces:
-            at, n = 0, len(ids) // 4
-            while at < n:
-                take = min(room, n - at)
-                window.append((document, start + at, ids[4 * at : 4 * (at + take)]))
-                at += take
-                room -= take
-                if not room:
-                    if final or lengths[turn] == self.size:
-                        yield window
-                    else:
-                        self.open[rest].append(window)
-                        self.count[rest] = 1
-                        self.held = 1
-                    window = []
-                    turn += 1
-                    room = lengths[turn] if turn < len(lengths) else 0
+        while queue:
+            level, window = queue.popleft()
+            if final and (size - level <= PADDING or level & (level - 1) == 0):
+                yield window
+                continue
+            while level < size and queue:
+                low, source = queue.pop()
+                document, start, ids = source.pop()
+                take = min(size - level, len(ids) // 4)
+                window.append((document, start, ids[: 4 * take]))
+                level += take
+                if 4 * take < len(ids):
+                    source.append((document, start + take, ids[4 * take :]))
+                if source:
+                    queue.append((low - take, source))
+            if level == size:
+                yield window
+            elif final:
+                yield from self.powers(window)
+            else:
+                self.open[level].append(window)
+                self.count[level] += 1
+                self.held += 1
+
+    def powers(self, window: list) -> Iterator[list]:
+        """The window's pieces cut into sequences whose lengths are powers of two."""
+        total = sum(len(p[2]) // 4 for p in window)
+        for bit in range(total.bit_length() - 1, -1, -1):
+            if total >> bit & 1:
+                out, room = [], 1 << bit
+                while room:
+                    document, start, ids = window.pop()
+                    take = min(room, len(ids) // 4)
+                    out.append((document, start, ids[: 4 * take]))
+                    room -= take
+                    if 4 * take < len(ids):
+                        window.append((document, start + take, ids[4 * take :]))
+                yield out
 
     def finish(self) -> Iterator[list]:
-        yield from self.recut(final=True)
+        yield from self.settle(final=True)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: doc_id, start, ids (little-endian uint32 bytes), doc_tokens, sequence_id, offset, sequence_tokens.
 
-    Sequences are full, but for one tail of a partition, cut into lengths that are powers of two; none needs padding.
+    Sequences are full or miss PADDING tokens at most, but for those whose length is a power of two.
     Memory: at most OPEN_WINDOWS open windows, the word cache and one document's ids.
     """
 
