@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, common, decontam, langid, packing, quality, simhash, suffixdedup, toxicity
-from lodestone.llm.common import table
+from lodestone.llm.common import letter_words, table
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -292,20 +293,74 @@ def _accuracy(scored, labels, column):
 def test_held_out_accuracy(spark):
     docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
     right, caught = _accuracy(toxicity.op3_toxicity(docs, labels), labels, "toxic")
-    assert right >= 0.93 and caught >= 0.6
+    assert right >= 0.93 and caught >= 0.7
     assert _accuracy(quality.op10_quality(docs, labels), labels, "quality")[0] >= 0.93
     lang = langid.op2_language_id(docs).where("held_out").join(docs.selectExpr("doc_id", "lang AS truth"), "doc_id").select("lang_pred", "truth").collect()
     assert np.mean([a == b for a, b in lang]) >= 0.97
 
 
+def slow_kneser_ney(rows, left_out):
+    """Log ratios of the conditional probabilities of chains, by the formulas alone. rows: (fold, label, text)."""
+    n, size = collections.Counter(), collections.Counter()
+    for f, y, text in rows:
+        if f != left_out:
+            links = set()
+            for w in set(letter_words(text)):
+                t, before = w.decode(), ""
+                for x in [*(t[:k] + "*" for k in (5, 6, 7) if len(t) > k), t]:
+                    links.add((before, x))
+                    before = x
+            n.update((y, *link) for link in links)
+    for (y, p, _), c in n.items():
+        size[y, p] += c
+    own = {}
+    for p, x in {k[1:] for k in n}:
+        c, t = [n[y, p, x] for y in (0, 1)], [size[y, p] + 0.5 for y in (0, 1)]
+        both, share = sum(c), [ty / sum(t) for ty in t]
+        odds = [toxicity.MARGIN * share[y] / (toxicity.MARGIN * share[y] + share[1 - y]) for y in (0, 1)]
+        off = toxicity.DEVIATIONS * math.sqrt(both * share[0] * share[1]) + toxicity.DISCOUNT
+        got = [max(c[y] - odds[y] * both - off, 0) for y in (0, 1)]
+        if any(got):
+            own[p, x] = got
+    left = {p: [1 - sum(o[y] for (q, _), o in own.items() if q == p) / max(1, size[y, p]) for y in (0, 1)] for p in {p for p, _ in own}}
+    shared_total = {p: sum(size[y, p] for y in (0, 1)) - sum(sum(o) for (q, _), o in own.items() if q == p) for p in left}
+    event, after = {}, {p: math.log(v[1] / v[0]) for p, v in left.items()}
+    for (p, x), o in own.items():
+        shared = (n[0, p, x] + n[1, p, x] - sum(o)) / shared_total[p]
+        q = [o[y] / max(1, size[y, p]) + left[p][y] * shared for y in (0, 1)]
+        event[x] = math.log(q[1] / q[0])
+    return event, after
+
+
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_toxicity_against_slow_models(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    docs, labels = table(spark, MEDIUM, "documents"), table(spark, MEDIUM, "labels")
+    rows = common.with_labels(docs.select("doc_id", "text").where(~common.held_out()), labels, "toxic").where("text IS NOT NULL")
+    made = [(zlib.crc32(str(r.doc_id).encode()) % 4, int(r["_label"] > 0), r.text) for r in rows.collect()]
+    got = toxicity.ratios(rows).toArrow()
+    for m in (-1, 0, 3):
+        event, after = slow_kneser_ney(made, m)
+        model = toxicity.Ratios(got, m)
+        assert after and {k.decode() for k in model.after if model.after[k]} == {k for k in after if after[k]}
+        for x, v in event.items():
+            assert model.event[x.encode()] == pytest.approx(v, abs=1e-9)
+        for p, v in after.items():
+            assert model.after[p.encode()] == pytest.approx(v, abs=1e-9)
+        # an expression without own counts in this model differs by the backoff weights only
+        for x in set(model.event) - {k.encode() for k in event}:
+            parents = [toxicity.chain(x)[-2:-1] or [b""]] if not x.endswith(b"*") else [[b""] if len(x.decode()) == 6 else [x.decode()[:-2].encode() + b"*"]]
+            assert model.event[x] == pytest.approx(after.get(parents[0][0].decode(), 0.0), abs=1e-9)
+
+
 def test_toxicity_keeps_rare_expressions(spark):
-    """An expression of five toxic documents counts, however many others the class has."""
+    """An expression of eight toxic documents counts, however many others both classes have."""
     rng = np.random.default_rng(6)
     ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2][:100]
-    made = [(i, "plain common words here") for i in ids[:80]]
-    for n, i in enumerate(ids[80:]):
-        words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (30_000, 9))]
-        made.append((i, " ".join([*words, *["vexing"] * (n < 8)])))
+    made = []
+    for n, i in enumerate(ids):
+        words = ["".join(map(chr, w)) for w in rng.integers(97, 123, (7_500 if n < 80 else 30_000, 9))]
+        made.append((i, " ".join([*words, *["vexing"] * (n >= 92)])))
     docs = spark.createDataFrame([*made, (1000, "vexing"), (1001, "unseen")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(n >= 80)) for n, i in enumerate(ids)], "doc_id long, toxic int")
     got = {r.doc_id: r.score for r in toxicity.op3_toxicity(docs, labels).where("doc_id >= 1000").collect()}
