@@ -65,6 +65,16 @@ def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], total: int) ->
     return cold.unionByName(rows.join(F.broadcast(hot), keys))
 
 
+def packed(docs: DataFrame, *more: Column | str) -> DataFrame:
+    """The documents' columns as one struct, row, beside more columns: whatever names they have, none clash."""
+    return docs.select(F.struct("*").alias("row"), *more)
+
+
+def unpacked(columns: list[str], text: Column | None = None) -> list[Column]:
+    """The columns of row again, with another text if one is given."""
+    return [text.alias(c) if text is not None and c == "text" else F.col("row").getField(c).alias(c) for c in columns]
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """The name, with as many underscores after it as make it differ from all columns of docs."""
     taken = {c.lower() for c in docs.columns}

@@ -1,22 +1,26 @@
 """Line deduplication by keys of trimmed, lower-cased lines, in DataFrame functions only.
 
-Hashes of line keys are range-partitioned together with their document, sorted by hash, document and position; a
-streaming aggregate over each range reads off every (hash, document) once, and a small second aggregate finds how many
-documents hold a hash and which one keeps it. A hot line spreads over as many ranges as its documents fill, and its
-partial results are one row a range. Hashes are written once, so texts are read twice in all. Dropped positions come back as run-length compressed bitmaps, one row per
-document with drops, and only they meet the texts again.
+Hashes (128 bits) of line keys are range-partitioned together with their document and sorted by hash, document and
+position within each range; a window over (hash, document) streams through them and numbers the occurrences, so the first
+of a document is told from the rest. How many documents hold a hash, and which one keeps it, is then summed up, one row a
+range for a hot line, however many ranges its documents fill. Hashes are written once, so texts are read twice in all.
+Dropped positions come back as run-length compressed keep bitmaps, one row per document with drops, and only they meet
+the texts again. Common lines are joined to their places by broadcast if few, otherwise the hottest by broadcast and the
+rest in a shuffle.
 
 Nulls: a null text is one empty line; a null doc_id counts as one document below all others. Rows with equal doc_id and
 text are one document and fare alike; rows that share only the doc_id are told apart, though they count as one document
-for a line. Empty tables give no rows. Other columns, whatever their names, are kept by line_dedup().
+for a line. Very long texts are split in place; only their hashes are shuffled one by one. Empty tables give no rows.
+Other columns, whatever their names, are kept by line_dedup(); its own _n_lines and _n_dropped get underscores after them
+where the documents have such columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, hot_join, materialise, packed, unpacked
 
 #: Upper and lower case of A-Z; the white space bytes 20 and 09 to 0D.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,11 +57,14 @@ def drop_maps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFr
     keys = lines.select("doc", "row_key", "pos", F.btrim("line", F.lit(SPACE)).alias("key")).where(F.length("key") >= min_chars)
     hashes = materialise(keys.select(F.unhex(F.md5(lower_ascii(F.col("key")).cast("binary"))).alias("h"), "doc", "row_key", "pos"), "line-hashes")
     ranged = hashes.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "pos")
-    holders = ranged.groupBy("h", "doc").agg(F.count(F.lit(1)).alias("n"))
-    common = holders.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs).select("h", "keeper")
-    common = materialise(common, "common-lines")
+    # the ranges and their order are what the window needs: it adds neither an exchange nor a sort
+    first = F.row_number().over(Window.partitionBy("h", "doc").orderBy("pos")) == 1
+    held = ranged.select("h", "doc", first.alias("first")).groupBy("h")
+    common = held.agg(F.count(F.lit(1)).alias("n"), F.count_if("first").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    common = materialise(common.select("h", "n", "keeper"), "common-lines")
     few = common.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
-    dropped = hashes.join(F.broadcast(common) if few else common, "h").where(F.col("doc") != F.col("keeper"))
+    found = hashes.join(F.broadcast(common), "h") if few else hot_join(hashes, common, ["h"], hashes.count())
+    dropped = found.where(F.col("doc") != F.col("keeper"))
     per_row = dropped.groupBy("row_key").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     first = F.filter("at", lambda x, i: (i == 0) | (F.get(F.col("at"), i - 1) != x - 1))
     last = F.filter("at", lambda x, i: F.coalesce(F.get(F.col("at"), i + 1) != x + 1, F.lit(True)))
@@ -70,17 +77,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataF
 
     A text of which nothing is dropped, null included, stays as it is.
     """
-    maps = drop_maps(docs, min_chars, min_docs).select(F.col("row_key").alias("_row_key"), F.col("n_dropped").alias("_n_dropped"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumn("_row_key", _row_key(F.col("doc_id"), F.col("text")))
-    joined = keyed.join(maps, "_row_key", "left")
-    lines = _lines(F.col("text"))
+    maps = drop_maps(docs, min_chars, min_docs)
+    joined = packed(docs, _row_key(F.col("doc_id"), F.col("text")).alias("row_key")).join(maps, "row_key", "left")
+    text = F.col("row").getField("text")
+    joined = joined.select("row", "runs", "n_dropped", _lines(text).alias("lines"))
     # kept stretches lie between dropped runs: slices, so the cost is linear in the lines
-    starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["start"] + r["length"]))
-    ends = F.concat(F.transform("_runs", lambda r: r["start"]), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("_lines"), a + 1, b - a)))
-    out = joined.withColumn("_lines", lines).withColumn("_n_lines", F.size("_lines").cast("long"))
-    out = out.withColumn("text", F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return out.withColumn("_n_dropped", F.coalesce("_n_dropped", F.lit(0).cast("long"))).drop("_row_key", "_runs", "_lines")
+    starts = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["start"] + r["length"]))
+    ends = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.size("lines")))
+    kept = F.array_join(F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("lines"), a + 1, b - a))), "\n")
+    return joined.select(
+        *unpacked(docs.columns, F.when(F.col("runs").isNull(), text).otherwise(kept)),
+        F.size("lines").cast("long").alias(fresh(docs, "_n_lines")),
+        F.coalesce("n_dropped", F.lit(0).cast("long")).alias(fresh(docs, "_n_dropped")),
+    )
 
 
 def op5_line_dedup(docs: DataFrame) -> DataFrame:
