@@ -6,9 +6,12 @@ blocks. A bucket of fingerprints with one key is verified in place and yields a
 Buckets with more than SMALL members are dealt anew under finer keys that leave 4 bits per differing block free, so no
 such bucket can hold more than 2 ** (4 * distance) fingerprints.
 
-Nulls: a null text has no words, fingerprint 0. Repeated rows keep their rows. An empty table gives no rows. The
-component id is the smallest non-null doc_id of the component, null if it has none; keep_one() goes by components, so two
-components without ids, or with one id, keep a row each. Extra columns are ignored.
+Rows meet the component of their fingerprint in a join that broadcasts the hottest fingerprints.
+
+Nulls: a null text has no words, fingerprint 0. Repeated rows keep their rows. An empty table gives no rows. Very long
+texts are shingled whole, hashes in a row of numbers. The component id is the smallest non-null doc_id of the component,
+null if it has none; keep_one() goes by components, so two components without ids, or with one id, keep a row each; of
+rows that tie in id and text one is kept. Extra columns are ignored, or kept by keep_one(), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_udf, materialise
+from .common import batch_udf, hot_join, materialise, packed, unpacked
 
 #: Members of a bucket that are compared at once.
 SMALL = 2048
@@ -161,10 +164,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), fingerprint_udf("text").alias("x"))
     rows = materialise(rows.select("doc_id", "text_hash", "x.fp"), "fingerprints")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("label")), "distinct-fingerprints")
-    linked = components(links(nodes.select("fp"), distance), nodes)
-    named = nodes.join(linked.withColumnRenamed("label", "lower"), "fp", "left").select("fp", F.coalesce("lower", "label").alias("component_id"), F.coalesce("r", "fp").alias("component"))
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "component")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    linked = components(links(nodes.select("fp"), distance), nodes.select("fp", "label"))
+    named = nodes.join(linked.withColumnRenamed("label", "lower"), "fp", "left")
+    named = materialise(named.select("fp", "n", F.coalesce("lower", "label").alias("component_id"), F.coalesce("r", "fp").alias("component")), "components")
+    return hot_join(rows, named, ["fp"], rows.count()).select("doc_id", "text_hash", "fp", "component_id", "component")
 
 
 def op9_simhash(docs: DataFrame) -> DataFrame:
@@ -176,7 +180,7 @@ def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
     """The documents, one of each component: its smallest doc_id, and of rows that share that id the smallest text hash."""
     found = near_duplicates(docs, distance)
     keep = found.groupBy("component").agg(F.min(F.struct(F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)), "text_hash", "doc_id")).alias("m"))
-    keep = keep.select(F.col("m.doc_id").alias("_keep_id"), F.col("m.text_hash").alias("_keep_hash"))
-    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    kept = hashed.join(keep, F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_text_hash") == F.col("_keep_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    keep = keep.select(F.col("m.doc_id").alias("keep_id"), F.col("m.text_hash").alias("keep_hash")).distinct()
+    hashed = packed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
+    kept = hashed.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("text_hash") == F.col("keep_hash")), "left_semi")
+    return kept.groupBy("id", "text_hash").agg(F.first("row").alias("row")).select(*unpacked(docs.columns))
