@@ -6,10 +6,13 @@ covers, an item with fewer words than the window counts where it occurs whole. O
 some item reach the automaton.
 
 The automaton is broadcast, so its size is bounded: items are dealt into blocks of at most BLOCK_WORDS words, and each
-further block is another pass whose marks are merged per document. Normally there is one block and no shuffle.
+further block is another pass over the rows, written with the marks so far; one automaton is in memory at a time.
+Normally there is one block, one pass and nothing written. No row is shuffled.
 
 Nulls: null texts and null items have no words; items with a null id are named by the empty text. Repeated items count
-once by id. Empty tables are fine. Other columns of the documents are kept by decontaminate().
+once by id. Very long texts are streamed whole; an item longer than a block is a block of its own. Runs that touch or
+overlap are one. Empty tables are fine. Other columns of the documents, whatever their names, are kept by
+decontaminate().
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import materialise, packed, unpacked
+
 #: Words of the test items in one automaton, at most (about 500 bytes of memory a word).
 BLOCK_WORDS = 400_000
 
@@ -228,24 +233,28 @@ def _merge_runs(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def mark_documents(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The documents with a struct column _mark: n_words, runs of hit words, names of the items that occur."""
+    """row (the document's columns) and mark: n_words, runs of hit words, names of the items that occur; and n_hit."""
     sc = docs.sparkSession.sparkContext
-    passes = [_marks(sc.broadcast(Automaton(block, window)), _SCHEMA) for block in item_blocks(benchmark)]
-    marked = docs.withColumn("_mark", passes[0](F.col("text").cast("string")))
-    if len(passes) > 1:
-        for k, one in enumerate(passes[1:], 1):
-            marked = marked.withColumn(f"_mark{k}", one(F.col("text").cast("string")))
-        all_marks = ["_mark", *(f"_mark{k}" for k in range(1, len(passes)))]
+    marked, sent = packed(docs), None
+    for block in item_blocks(benchmark):
+        if sent is not None:  # the pass before ends here, and its automaton goes
+            marked = materialise(marked, "marked")
+            sent.destroy()
+        sent = sc.broadcast(Automaton(block, window))
+        found = _marks(sent, _SCHEMA)(F.col("row").getField("text").cast("string"))
+        if "mark" not in marked.columns:
+            marked = marked.select("row", found.alias("mark"))
+            continue
         merge = arrow_udf(_merge_runs, "array<long>")
-        runs = merge(F.array(*[F.col(f"{m}.runs") for m in all_marks]))
-        names = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{m}.names") for m in all_marks])))
-        marked = marked.withColumn("_runs", runs).withColumn("_mark", F.struct(F.col("_mark.n_words"), F.col("_runs").alias("runs"), names.alias("names"))).drop("_runs", *all_marks[1:])
-    hit = F.aggregate(F.col("_mark.runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda acc, x: F.struct((acc["n"] + x * acc["s"]).alias("n"), (-acc["s"]).alias("s")), lambda acc: acc["n"])
-    return marked.withColumn("_n_hit", hit)
+        both = marked.select("row", F.col("mark").alias("one"), found.alias("two"))
+        runs = merge(F.array("one.runs", "two.runs"))
+        marked = both.select("row", F.struct(F.col("one.n_words"), runs.alias("runs"), F.array_sort(F.array_union("one.names", "two.names")).alias("names")).alias("mark"))
+    hit = F.aggregate(F.col("mark.runs"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda acc, x: F.struct((acc["n"] + x * acc["s"]).alias("n"), (-acc["s"]).alias("s")), lambda acc: acc["n"])
+    return marked.select("row", "mark", hit.alias("n_hit"))
 
 
 def contaminated(share: int = 20):
-    return (F.col("_n_hit") > 0) & (share * F.col("_n_hit") >= F.col("_mark.n_words"))
+    return (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("mark.n_words"))
 
 
 def remove_spans(text: str | None, runs: list[int]) -> str | None:
@@ -266,25 +275,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
 
     With spans the hit spans of the documents that stay are cut out of their texts as well.
     """
-    marked = mark_documents(docs, benchmark, window).where(~contaminated(share))
+    kept = mark_documents(docs, benchmark, window).where(~contaminated(share))
+    text = F.col("row").getField("text")
     if spans:
 
         @arrow_udf("string")
         def cut(text: pa.Array, runs: pa.Array) -> pa.Array:
             return pa.array([remove_spans(t, r) for t, r in zip(text.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
 
-        marked = marked.withColumn("text", cut(F.col("text").cast("string"), F.col("_mark.runs")))
-    return marked.drop("_mark", "_n_hit")
+        text = cut(text.cast("string"), F.col("mark.runs"))
+    return kept.select(*unpacked(docs.columns, text))
 
 
 def op6_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked = mark_documents(docs.select("doc_id", "text"), benchmark)
     return marked.select(
-        "doc_id",
-        F.col("_mark.n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_mark.names").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_mark.names", ",").cast("binary"), 256).alias("items_sha256"),
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("mark.n_words").alias("n_words"),
+        "n_hit",
+        F.size("mark.names").cast("long").alias("n_items"),
+        F.sha2(F.array_join("mark.names", ",").cast("binary"), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
 
