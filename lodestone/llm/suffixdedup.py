@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, hot_join, materialise
+from .common import fresh, hot_join, materialise, packed, unpacked
 
 #: Different stretches of one anchor that a suffix array takes, at most (600 bytes each).
 MAX_STRETCHES = 4096
@@ -381,11 +381,10 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 400, keep_first: bool = Tru
     """The documents with a struct column _repeats: n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay)."""
     spans = repeated_spans(docs.select("doc_id", "text"), min_bytes, keep_first)
     by_doc = spans.groupBy(*_KEY).agg(F.collect_set(F.struct("b", "e")).alias("spans"))
-    text = F.col("doc_id"), F.col("text").cast("string")
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), *_row_key(*text))
     cut = arrow_udf(_cut, "struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string,kept:binary>").asNondeterministic()
-    done = packed.join(by_doc, [*_KEY], "left").select("row", cut(F.col("row.text").cast("string"), F.col("spans.b"), F.col("spans.e")).alias("done"))
-    return done.select("row.*", F.col("done").alias(fresh(docs, "_repeats")))
+    joined = packed(docs, *_row_key(F.col("doc_id"), F.col("text").cast("string"))).join(by_doc, [*_KEY], "left")
+    text = F.col("row").getField("text").cast("string")
+    return joined.select(*unpacked(docs.columns), cut(text, F.col("spans.b"), F.col("spans.e")).alias(fresh(docs, "_repeats")))
 
 
 def op8_suffix_dedup(docs: DataFrame) -> DataFrame:

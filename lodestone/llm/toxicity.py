@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, fresh, held_out, hot_join, letter_words, logistic, logistic_fit, materialise, sample_hash, with_labels
+from .common import fold, fresh, held_out, hot_join, letter_words, logistic, logistic_fit, materialise, packed, sample_hash, unpacked, with_labels
 
 #: Expressions that are broadcast; more go through a shuffle.
 SENT = 1 << 20
@@ -316,9 +316,8 @@ def score(docs: DataFrame, learned: tuple[Model | Table, np.ndarray] | float) ->
         for batch in batches:
             yield pa.array(logistic(w[0] * _feature(batch.to_numpy(zero_copy_only=False)) + w[1]), pa.float64())
 
-    packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
-    done = model.differences(packed, F.col("row.text").cast("string"))
-    return done.select("row.*", weigh("_difference").alias(name))
+    done = model.differences(packed(docs), F.col("row").getField("text").cast("string"))
+    return done.select(*unpacked(docs.columns), weigh("_difference").alias(name))
 
 
 def op3_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

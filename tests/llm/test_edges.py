@@ -7,11 +7,14 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from lodestone.llm import ann, chat, decontam, langid, linededup, packing, quality, simhash, suffixdedup, toxicity
+from lodestone.llm import ann, chat, common, decontam, langid, linededup, packing, quality, simhash, suffixdedup, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names of columns that the operators use within, now or earlier.
+CLASHING = """_score _text_hash fp runs h kept label row row_key n_dropped _n_dropped _n_lines _runs _lines _row_key mark n_hit _mark _n_hit
+    d th k1 k2 spans done _repeats _difference _text _m _group id keep_id keep_hash _keep_id _keep_hash text_hash n a u1 u2 _label _lang _fold""".split()
 LONG = "lorem ipsum dolor " * 20_000
 
 
@@ -29,7 +32,7 @@ def odd(spark):
         (6, LONG, "en", "a", 1),
         (7, "!!! 123 ???", "en", "a", 1),
     ]
-    return spark.createDataFrame(rows, DOCS).selectExpr("*", "1 AS _score", "2 AS _text_hash", "3 AS fp", "4 AS runs", "5 AS h", "6 AS kept", "7 AS label")
+    return spark.createDataFrame(rows, DOCS).selectExpr("*", *[f"{n} AS {c}" for n, c in enumerate(CLASHING)])
 
 
 @pytest.fixture(scope="module")
@@ -68,8 +71,20 @@ def test_scores(odd, none, labels, no_labels, op):
         assert op(none, given).count() == 0
 
 
-def test_filter_keeps_columns(odd, labels):
-    assert toxicity.filter_toxic(odd.drop("_score"), labels).columns == odd.drop("_score").columns
+def same_values(kept, odd):
+    """All rows are rows of odd, clashing columns included, apart from their texts."""
+    had = {tuple(r) for r in odd.drop("text").collect()}
+    got = kept.drop("text").collect()
+    return kept.columns == odd.columns and all(tuple(r) in had for r in got)
+
+
+def test_filters_keep_columns(odd, labels, monkeypatch):
+    kept = toxicity.filter_toxic(odd, labels)
+    assert same_values(kept, odd)
+    monkeypatch.setattr(toxicity, "SENT", 0)
+    assert sorted(map(str, toxicity.filter_toxic(odd, labels).collect())) == sorted(map(str, kept.collect()))
+    scored = toxicity.score(odd, toxicity.learn(odd, labels))
+    assert scored.columns == [*odd.columns, "_score_"] and scored.count() == 9
 
 
 def test_packing(odd, none):
@@ -82,7 +97,8 @@ def test_packing(odd, none):
 def test_line_dedup(spark, odd, none):
     assert sorted(r.n_lines for r in linededup.op5_line_dedup(odd).collect()) == [1] * 8 + [2]
     assert linededup.op5_line_dedup(none).count() == 0
-    assert linededup.line_dedup(odd).select(*odd.columns).columns == odd.columns
+    out = linededup.line_dedup(odd)
+    assert out.columns == [*odd.columns, "_n_lines_", "_n_dropped_"] and same_values(out.select(*odd.columns), odd)
     line = "a line of more than forty characters, repeated here"
     made = [(i, f"{line}\nown {i}\n  {line.upper()}\t", "en", "a", 1) for i in (1, 2, 3, 4, 9, 9)] + [(None, line, "en", "a", 1)]
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.op5_line_dedup(spark.createDataFrame(made, DOCS)).collect()}
@@ -90,6 +106,32 @@ def test_line_dedup(spark, odd, none):
     assert got[9][:2] == (3, 0) and got[None][:2] == (1, 1)
 
 
+def test_line_dedup_streams_sorted_ranges(spark, odd):
+    """The sort of each range stays in the plan, under the window, with one exchange beneath."""
+    made = spark.createDataFrame([(i, "a line of more than forty characters, repeated here") for i in range(6)], "doc_id long, text string")
+    seen = []
+    keep = linededup.materialise
+    linededup.materialise = lambda df, name: (seen.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1]
+    try:
+        assert linededup.op5_line_dedup(made).agg({"n_dropped": "sum"}).first()[0] == 5
+    finally:
+        linededup.materialise = keep
+    plan = dict(seen)["common-lines"]
+    below = plan[plan.index("Window") :]
+    assert below.index("Sort [h") < below.index("rangepartitioning(h") and below.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("few", [500_000, -1])
+def test_line_dedup_hot_lines(spark, monkeypatch, few):
+    """Hot and other lines by broadcast and by shuffle."""
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", few)
+    hot, warm = "the line that all of the documents hold, word for word", "a line that only a third of the documents hold here"
+    made = [(i, f"{hot}\n{i}\n" + (warm if i % 3 == 0 else "")) for i in range(60)]
+    got = {r.doc_id: r.n_dropped for r in linededup.op5_line_dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: (i != 59) + (i % 3 == 0 and i != 57) for i in range(60)}
+
+
 def test_decontamination(spark, odd, none):
     items = spark.createDataFrame([(1, "The CAT sat"), (2, None), (None, ""), (3, "mat"), (3, "mat"), (4, "nothing of the kind")], "item_id long, text string")
     got = {r.doc_id: r for r in decontam.op6_decontamination(odd, items).collect()}
@@ -98,7 +140,7 @@ def test_decontamination(spark, odd, none):
     assert decontam.op6_decontamination(none, items).count() == 0
     assert decontam.op6_decontamination(odd, items.limit(0)).where("n_hit > 0").count() == 0
     kept = decontam.decontaminate(odd, items)
-    assert kept.columns == odd.columns and 4 not in {r.doc_id for r in kept.collect()}
+    assert same_values(kept, odd) and 4 not in {r.doc_id for r in kept.collect()}
     cut = decontam.decontaminate(odd, items, share=1, spans=True).where("doc_id = 4").first()
     assert cut is not None and "cat" not in cut.text and "mat" not in cut.text.split(".")[0]
 
@@ -108,12 +150,15 @@ def test_decontamination_blocks(odd, spark, monkeypatch):
     whole = sorted(map(str, rows(decontam.op6_decontamination(odd, items))))
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 3)
     assert sorted(map(str, rows(decontam.op6_decontamination(odd, items)))) == whole
+    assert same_values(decontam.decontaminate(odd, items), odd)
 
 
 def test_suffix_dedup(spark, odd, none):
     got = sorted(rows(suffixdedup.op8_suffix_dedup(odd)), key=str)
     assert len(got) == 9 and sum(r[2] > 0 for r in got) == 1  # the long text repeats itself
     assert suffixdedup.op8_suffix_dedup(none).count() == 0
+    out = suffixdedup.remove_repeats(odd)
+    assert out.columns == [*odd.columns, "_repeats_"] and same_values(out.select(*odd.columns), odd)
     text = "".join(random.Random(1).choices("abcdef ", k=900))
     twice = spark.createDataFrame([(2, text, "en", "a", 1), (1, "x" + text, "en", "a", 1), (None, None, None, None, None)], DOCS)
     assert {r.doc_id: r.n_removed for r in suffixdedup.op8_suffix_dedup(twice).collect()} == {1: 900, 2: 900, None: 0}
@@ -126,8 +171,8 @@ def test_simhash(odd, none):
     assert (1, "0" * 16, 1) in got and (2, "0" * 16, 1) in got
     assert {r[2] for r in got if r[0] in (4, 5)} == {4}
     assert simhash.op9_simhash(none).count() == 0
-    kept = simhash.keep_one(odd.drop("_text_hash"))
-    assert kept.columns == odd.drop("_text_hash").columns and [r.doc_id for r in kept.collect()].count(4) == 1
+    kept = simhash.keep_one(odd)
+    assert same_values(kept, odd) and [r.doc_id for r in kept.collect()].count(4) == 1
 
 
 def test_keep_one_without_ids(spark):
