@@ -1,21 +1,24 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text becomes the counts of its hashed byte trigrams and of words that follow themselves, damped, weighted by inverse document frequency and normalised;
-a truncated singular value decomposition of a bounded labelled sample turns those into DIMENSIONS latent-semantic
-coordinates. The sample's vectors and labels are broadcast (VOTERS x DIMENSIONS numbers at most), every document gets
-exact cosines to all of them in blocks, and its NEIGHBOURS nearest vote with their similarity as weight.
+A text becomes counts of two kinds of terms: its hashed byte trigrams, and pairs of recency codes, which say of each of two
+words in a row how long ago it was last seen (never, or the power of two of the distance). Counts are damped and weighted
+by inverse document frequency, and each kind is normalised. A truncated singular value decomposition of a bounded labelled
+sample turns them into DIMENSIONS latent-semantic coordinates. The sample's vectors and labels are broadcast (VOTERS x
+DIMENSIONS numbers at most), every document gets exact cosines to all of them in blocks, and its NEIGHBOURS nearest vote
+with their similarity as weight.
 
-The sample takes up to VOTERS / 2 labelled documents of each class; votes are weighted back to the classes' shares.
+The sample takes about VOTERS / 2 labelled documents of each class at most, whole texts, by a hash of their ids; votes are
+weighted back to the classes' shares.
 
 Nulls: a null or empty text has no direction and scores the share of good documents. Unlabelled documents and null
-labels are not learned from; with one class only, every score is that class. Repeated rows count repeatedly. Empty
-tables give no rows.
+labels are not learned from; with one class only, every score is that class. Repeated rows count repeatedly. Of
+neighbours that tie for the last place any may vote. Very long texts are counted whole, in stretches. Empty tables give
+no rows. score() keeps all columns and adds _score, with underscores after it where the documents have such a column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +26,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held_out, sample_hash, with_labels
+from .common import fresh, held_out, sample_hash, with_labels
 
 VOTERS = 4096
 DIMENSIONS = 64
 BUCKETS = 4096
 NEIGHBOURS = 15
-#: The bucket that counts words which follow themselves, and its weight.
-REPEATS = 0
-REPEATS_WEIGHT = 8.0
+#: Recency codes of a word: 0 for a new one, else 1 + log2 of the distance, and the weight of their pairs beside trigrams.
+CODES = 16
+RECENCY_WEIGHT = 0.5
 THRESHOLD = 0.7
-#: Sampled texts longer than this are represented by evenly spread excerpts; scored texts are always whole.
-SAMPLE_CHARS = 16_000
-
 _STEP = 1 << 20
 
 
-def trigram_counts(text: str | None) -> np.ndarray:
-    """Counts of hashed byte trigrams of a whole text, and in REPEATS of words that follow themselves."""
+def recency_codes(words: list[str]) -> np.ndarray:
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=len(words))
+    order = np.argsort(ids, kind="stable")
+    again = ids[order[1:]] == ids[order[:-1]]
+    code = np.zeros(len(ids), dtype=np.int64)
+    code[order[1:][again]] = np.minimum(1 + np.log2(order[1:][again] - order[:-1][again]).astype(np.int64), CODES - 1)
+    return code
+
+
+def term_counts(text: str | None) -> np.ndarray:
+    """Counts of hashed byte trigrams of a whole text, then of pairs of its recency codes."""
     data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype=np.uint8)
-    out = np.zeros(BUCKETS, dtype=np.float32)
+    out = np.zeros(BUCKETS + CODES * CODES, dtype=np.float32)
     for at in range(0, max(0, len(data) - 2), _STEP):
         part = data[at : at + _STEP + 2].astype(np.uint32)
         key = (part[:-2] << 16 | part[1:-1] << 8 | part[2:]) * np.uint32(2654435761)
-        out += np.bincount(key >> np.uint32(20), minlength=BUCKETS).astype(np.float32)
-    words = (text or "").lower().split()
-    out[REPEATS] = sum(map(eq, words, words[1:]))
+        out[:BUCKETS] += np.bincount(key >> np.uint32(20), minlength=BUCKETS).astype(np.float32)
+    code = recency_codes((text or "").lower().split())
+    out[BUCKETS:] = np.bincount(code[:-1] * CODES + code[1:], minlength=CODES * CODES)
     return out
 
 
@@ -81,7 +91,6 @@ class Voters:
     def __init__(self, counts: np.ndarray, labels: np.ndarray, shares: np.ndarray):
         seen = (counts > 0).sum(0)
         self.idf = np.log((len(counts) + 1) / (seen + 1)).astype(np.float32) + 0.1
-        self.idf[REPEATS] *= REPEATS_WEIGHT
         x = self.weigh(counts)
         self.project = _principal(x, DIMENSIONS)
         self.vectors = _direction(x @ self.project)
@@ -91,23 +100,22 @@ class Voters:
         self.share = float(shares[1])
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
-        return _direction(np.log1p(counts) * self.idf)
+        x = np.log1p(counts) * self.idf
+        return np.hstack([_direction(x[:, :BUCKETS]), RECENCY_WEIGHT * _direction(x[:, BUCKETS:])])
 
     def vote(self, texts: list) -> np.ndarray:
-        counts = np.stack([trigram_counts(t) for t in texts])
+        counts = np.stack([term_counts(t) for t in texts])
         x = _direction(self.weigh(counts) @ self.project)
         cosine = x @ self.vectors.T
         k = min(NEIGHBOURS, cosine.shape[1])
         at = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        near = np.clip(np.take_along_axis(cosine, at, 1), 0, None) ** 2 * self.weight[at]
+        near = np.clip(np.take_along_axis(cosine, at, 1), 0, None) * self.weight[at]
         total = near.sum(1)
         score = (near * self.labels[at]).sum(1) / np.where(total > 0, total, 1)
         return np.where(total > 0, score, self.share)
 
 
 def learn(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Voters | float:
-    from .langid import excerpt
-
     rows = with_labels(docs.select("doc_id", "text").where(~held_out()), labels.select("doc_id", column), column)
     rows = rows.where(F.length("text") > 0).withColumn("_label", (F.col("_label") > 0).cast("int"))
     counts = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -119,13 +127,13 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Voters
     @arrow_udf("binary")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([_pack(trigram_counts(t)) for t in batch.to_pylist()], pa.binary())
+            yield pa.array([_pack(term_counts(t.as_py())) for t in batch], pa.binary())
 
-    some = rows.where(F.pmod(sample_hash(), F.lit(spread)) < cut).select("_label", excerpt(F.col("text"), SAMPLE_CHARS, 8).alias("t")).limit(VOTERS + VOTERS // 4)
+    some = rows.where(F.pmod(sample_hash(), F.lit(spread)) < cut).select("_label", F.col("text").cast("string").alias("t")).limit(VOTERS + VOTERS // 4)
     found = some.select("_label", counted("t").alias("x")).toArrow()
     if not found.num_rows:
         return float(counts[1] / (counts[0] + counts[1]))
-    x = np.zeros((found.num_rows, BUCKETS), dtype=np.float32)
+    x = np.zeros((found.num_rows, BUCKETS + CODES * CODES), dtype=np.float32)
     for row, data in zip(x, found["x"], strict=True):
         _unpack(data.as_py(), row)
     y = found["_label"].to_numpy()
@@ -136,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, column: str = "quality") -> Voters
 def score(docs: DataFrame, learned: Voters | float) -> DataFrame:
     """The documents with a column _score."""
     if isinstance(learned, float):
-        return docs.withColumn("_score", F.lit(learned))
+        return docs.select("*", F.lit(learned).alias(fresh(docs, "_score")))
     sent = docs.sparkSession.sparkContext.broadcast(learned)
 
     @arrow_udf("double")
@@ -146,7 +154,7 @@ def score(docs: DataFrame, learned: Voters | float) -> DataFrame:
             out = [voters.vote(batch.slice(at, 256).to_pylist()) for at in range(0, len(batch), 256)]
             yield pa.array(np.concatenate(out) if out else [], pa.float64())
 
-    return docs.withColumn("_score", run.asNondeterministic()(F.col("text").cast("string")))
+    return docs.select("*", run.asNondeterministic()(F.col("text").cast("string")).alias(fresh(docs, "_score")))
 
 
 def op10_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
