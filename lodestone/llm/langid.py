@@ -1,14 +1,15 @@
 """Language identification by compression: one raw-content zstandard dictionary per language.
 
-A text, lower-cased and with all but letters as spaces, is compressed whole with each language's dictionary; the language whose dictionary leaves the fewest bytes is the
-prediction. The margin is the gap to the runner-up as a share of the best size; where it is under `min_margin` the
-operator rejects the prediction. Dictionaries are built from a bounded sample: about SAMPLE_DOCS labelled documents a
-language, in the order of a hash of their ids, with an evenly spread excerpt of at most EXCERPT_CHARS of each, cut to
-DICTIONARY_BYTES.
+A text, lower-cased and with all but letters as spaces, is compressed whole with each language's dictionary; the language
+whose dictionary leaves the fewest bytes is the prediction. The margin is the gap to the runner-up as a share of the best
+size; where it is under `min_margin` the operator rejects the prediction. Dictionaries are built from a bounded sample of
+whole texts: about 2 * SAMPLE_DOCS labelled documents a language, by a hash of their ids, none longer than a quarter of a
+dictionary; taken in the order of that hash, as many as fit into DICTIONARY_BYTES.
 
 Nulls: a null text, and one without any letter, is `und` with score 0. Documents without a language are not learned
 from; if none can be learned from, every prediction is `und`. Ties go to the language that sorts first. Repeated rows
-are predicted alike. Empty tables give no rows.
+are predicted alike. Very long texts are compressed whole. Empty tables give no rows. identify() keeps all columns and
+adds _lang, with underscores after it where the documents have such a column.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_udf, held_out, letter_words, sample_hash
+from .common import batch_udf, fresh, held_out, letter_words, sample_hash
 
 #: Bounds of the sample that dictionaries are built from.
-SAMPLE_DOCS = 160
-EXCERPT_CHARS = 2_000
+SAMPLE_DOCS = 320
 DICTIONARY_BYTES = 131_072
 #: Languages at most; a table with more distinct values is an error, as each costs a compression of every text.
 MAX_LANGUAGES = 200
@@ -39,17 +39,9 @@ def normalise(text: str) -> bytes:
     return b" ".join(letter_words(text))
 
 
-def excerpt(text: Column, chars: int, pieces: int = 4) -> Column:
-    """The text if short, else `pieces` evenly spread stretches of it."""
-    n = F.length(text)
-    size = chars // pieces
-    spread = [F.substring(text, (F.lit(1) + F.floor((n - size) * F.lit(i / max(1, pieces - 1)))).cast("int"), F.lit(size)) for i in range(pieces)]
-    return F.when(n <= chars, text).otherwise(F.concat_ws(" ", *spread))
-
-
 def learn(docs: DataFrame) -> dict[str, bytes]:
     """Dictionary per language. docs: doc_id, text, lang."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
+    rows = docs.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, DICTIONARY_BYTES // 4))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -59,15 +51,20 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     spread = 1 << 30
     cut = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(spread, math.ceil(spread * 2 * SAMPLE_DOCS / n)))) for k, n in counts.items()])
     order = sample_hash()
-    sample = rows.where(F.pmod(order, F.lit(spread)) < cut).select("lang", F.pmod(order, F.lit(spread)).alias("o"), excerpt(F.col("text"), EXCERPT_CHARS).alias("text"))
+    sample = rows.where(F.pmod(order, F.lit(spread)) < cut).select("lang", F.pmod(order, F.lit(spread)).alias("o"), "text")
     held: dict[str, list[tuple[int, str]]] = {k: [] for k in counts}
     for r in sample.collect():
         held[r["lang"]].append((r["o"], r["text"]))
     out = {}
     for lang, texts in sorted(held.items()):
-        data = normalise("\n".join(t for _, t in sorted(texts)[:SAMPLE_DOCS]))
-        if data:
-            out[lang] = data[-DICTIONARY_BYTES:]
+        parts, size = [], 0
+        for _, text in sorted(texts):
+            data = normalise(text)
+            if data and size + len(data) < DICTIONARY_BYTES:
+                parts.append(data)
+                size += len(data) + 1
+        if parts:
+            out[lang] = b" ".join(parts)
     return out
 
 
@@ -112,7 +109,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     types = {"lang": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
     sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
     udf = batch_udf(lambda model, texts: _predict(model, texts, min_margin), "struct<lang:string,score:double,rejected:boolean>", types, lambda: Classifier(sent.value))
-    return docs.withColumn("_lang", udf(F.col("text").cast("string")))
+    return docs.select("*", udf(F.col("text").cast("string")).alias(fresh(docs, "_lang")))
 
 
 def op2_language_id(docs: DataFrame) -> DataFrame:

@@ -285,6 +285,60 @@ def test_automaton_against_windows():
         assert (got == mark).all() and {machine.names[k] for k in found} == names
 
 
+def test_recency_codes():
+    rng = random.Random(2)
+    for _ in range(50):
+        words = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 60))]
+        want = []
+        for i, w in enumerate(words):
+            before = [j for j in range(i) if words[j] == w]
+            want.append(min(quality.CODES - 1, (i - before[-1]).bit_length()) if before else 0)
+        assert quality.recency_codes(words).tolist() == want
+
+
+def test_quality_against_slow_votes(spark):
+    """Cosines, neighbours and votes of the shipped sample, one document and one voter at a time."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels")
+    voters = quality.learn(docs, labels)
+    scores = {r.doc_id: r.score for r in quality.op10_quality(docs, labels).collect()}
+    assert len(voters.vectors) == common.with_labels(docs.where(~common.held_out()), labels, "quality").where("length(text) > 0").count()
+    for r in docs.limit(60).collect():
+        counts = quality.term_counts(r.text)
+        data = (r.text or "").encode()
+        grams = collections.Counter(int.from_bytes(data[i : i + 3], "big") * 2654435761 % 2**32 >> 20 for i in range(len(data) - 2))
+        assert {int(i): int(counts[i]) for i in np.flatnonzero(counts[: quality.BUCKETS])} == grams
+        x = (np.log1p(counts) * voters.idf).astype(float)
+        parts = [x[: quality.BUCKETS], x[quality.BUCKETS :]]
+        x = np.concatenate([w * v / (np.linalg.norm(v) or 1) for w, v in zip((1, quality.RECENCY_WEIGHT), parts, strict=True)]) @ voters.project
+        cosine = [max(0.0, float(x @ v) / (np.linalg.norm(x) * np.linalg.norm(v) or 1)) for v in voters.vectors]
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[: quality.NEIGHBOURS]
+        weights = [cosine[i] * voters.weight[i] for i in near]
+        want = sum(w for w, i in zip(weights, near, strict=True) if voters.labels[i]) / sum(weights) if sum(weights) else voters.share
+        assert scores[r.doc_id] == pytest.approx(want, abs=2e-3)
+
+
+def test_language_against_slow_compression(spark):
+    """The smallest of all languages' outputs, each made by a compressor of its own; dictionaries are whole texts."""
+    import zstandard as z
+
+    docs = table(spark, SMALL, "documents")
+    dictionaries = langid.learn(docs.where(~common.held_out()))
+    assert set(dictionaries) == {"en", "de", "fr", "es"}
+    texts = {b" ".join(letter_words(r.text)) for r in docs.where(~common.held_out()).collect()}
+    assert all(len(d) <= langid.DICTIONARY_BYTES and any(d.startswith(t) for t in texts if t) for d in dictionaries.values())
+    got = {r.doc_id: r for r in langid.identify(docs, dictionaries).select("doc_id", "text", "_lang").collect()}
+    for r in got.values():
+        data, sizes = b" ".join(letter_words(r.text)), {}
+        for lang, d in dictionaries.items():
+            made = z.ZstdCompressor(level=langid.LEVEL, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False)
+            sizes[lang] = len(made.compress(data))
+        if data:
+            best, second = sorted(sizes.values())[:2]
+            assert r["_lang"].lang == min(sorted(sizes), key=sizes.get) and r["_lang"].rejected == ((second - best) / best < 0.01)
+        else:
+            assert r["_lang"].lang == "und"
+
+
 def _accuracy(scored, labels, column):
     got = scored.where("held_out").join(labels, "doc_id").select("predicted", column).collect()
     return np.mean([r[0] == r[1] for r in got]), sum(r[0] and r[1] for r in got) / max(1, sum(r[1] for r in got))
