@@ -192,6 +192,14 @@ def test_ann(spark):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert set(got) == {0, 50} and set(got[0]) == {50, 7, 8, 3} and got[0][0] == 7 and got[50][0] == 0
     assert ann.op7_ann(df.limit(0)).count() == 0
+    # queries of other dimensions than the vectors' commonest take no part, however many they are
+    more = spark.createDataFrame([(50 * i, [1.0, float(i)]) for i in range(1, 6)], "vec_id long, embedding array<double>")
+    both = df.where("vec_id % 50 = 0").select("vec_id", "embedding").unionByName(more)
+    assert {r.query_id for r in ann.search(df, both).collect()} == {0, 50}
+    # scaled copies tie: the smaller ids win
+    ties = spark.createDataFrame([(i, [float(i + 1), 0.0]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in ann.op7_ann(ties).where("query_id = 50").orderBy("rank").collect()]
+    assert got == [0, 1, 2, 3, 4]
 
 
 def test_chat(spark):
