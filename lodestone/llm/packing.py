@@ -21,12 +21,11 @@ import json
 import os
 import re
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,23 +41,41 @@ OPEN_WINDOWS = 8192
 PADDING = 16
 
 #: Cached words of a tokenising process.
-CACHED = 500_000
+CACHED = 700_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split() only
-_PLAIN = re.compile("[!-~]*")
+# printable ASCII and the accented letters of Latin-1 and Latin Extended-A, on which all Unicode tables agree
+_PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ž]*")
+_SPLIT = "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTERS = "a-zß-öø-ž"
+
+
+class Memo(dict):
+    """Values of a function, forgotten when there are CACHED of them."""
+
+    def __init__(self, work: Callable[[str], bytes]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        value = self[key] = self.work(key)
+        return value
 
 
 class Encoder:
     """Token ids of whole texts as little-endian uint32 bytes, word by word with a cache.
 
     Holds for tokenizers whose tokens never cross white space and that fold NFC then lower case, like word_bpe_49k; others
-    encode the text as it is. Words of printable ASCII are split here, all others are the tokenizer's own work, so that
-    no second table of Unicode properties has a say.
+    encode the text as it is. Words of printable ASCII and common accented letters are split here, all others are the
+    tokenizer's own work, so that no second table of Unicode properties has a say.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -67,41 +84,35 @@ class Encoder:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         if self.by_word:
-            self.split = regex.compile(steps[0]["pattern"]["Regex"])
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+            # what comes before the letters, numbers and the rest are plain strings, the contractions
+            given = steps[0]["pattern"]["Regex"]
+            self.by_word = given.endswith(_SPLIT)
+            self.split = re.compile(f"{given.removesuffix(_SPLIT)}[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+            shown = ByteLevel(add_prefix_space=False, use_regex=False)
+            # what a byte of an accented letter's UTF-8 looks like to the model; printable ASCII is as it is
+            self.alphabet = {b: x for c in range(0xC0, 0x180) for b, x in zip(chr(c).encode(), shown.pre_tokenize_str(chr(c))[0][0], strict=True)}
+        self.pieces = Memo(self.piece)
+        self.words = Memo(self.word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
-        if got is None:
-            if len(self.pieces) >= CACHED:
-                self.pieces.clear()
-            got = np.array([t.id for t in self.tokenizer.model.tokenize(text)], dtype="<u4").tobytes()
-            self.pieces[text] = got
-        return got
+        shown = text if text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(shown)])
 
     def word(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text) or ("<" in text and any(s in text for s in self.special)):
             return self.whole(text)
-        return b"".join(map(self.piece, self.split.findall(text.lower())))
+        folded = text.lower()
+        pieces = self.pieces
+        return pieces[folded] if folded.isalpha() else b"".join([pieces[x] for x in self.split.findall(folded)])
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or _ODD_SPACE.search(text):
             return self.whole(text)
-        parts = text.split()
         known = self.words
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) >= CACHED:
-                known.clear()
-            for p in parts:
-                if p not in known:
-                    known[p] = self.word(p)
-            return b"".join([known[p] for p in parts])
+        return b"".join([known[p] for p in text.split()])
 
 
 @lru_cache(maxsize=4)
