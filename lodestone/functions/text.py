@@ -197,17 +197,24 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def word_similarity(term: str, content: str) -> float:
-    """Largest share of the term's trigrams in common with a stretch of the content's trigrams.
+def word_similarity(term: str, content: str, least: float = 0.0, known: dict[str, list[str]] | None = None) -> float:
+    """Largest share of the term's trigrams in common with a stretch of the content's trigrams; 0 if it is under `least`.
 
-    As of trigram extents: for each pair of first and last matching trigram, common / (term + extent - common).
+    As of trigram extents: for each pair of first and last matching trigram, common / (term + extent - common). An extent of
+    more distinct trigrams than term / least can't reach it, so the work is linear in the content where `least` is set.
+    known: trigrams of words seen before.
     """
     want = {g for w in python_tokens(term) for g in trigrams(w)}
     if not want:
         return 0.0
-    have = [g for w in python_tokens(content) for g in trigrams(w)]
+    known = {} if known is None else known
+    have: list[str] = []
+    for w in python_tokens(content):
+        if w not in known:
+            known[w] = trigrams(w)
+        have += known[w]
     at = [i for i, g in enumerate(have) if g in want]
-    best = 0.0
+    best = max(0.0, least - 1e-12)
     for n, first in enumerate(at):
         common: set[str] = set()
         extent: set[str] = set()
@@ -219,7 +226,7 @@ def word_similarity(term: str, content: str) -> float:
             best = max(best, len(common) / (len(want) + len(extent) - len(common)))
             if len(want) / max(1, len(extent)) <= best:
                 break  # a longer extent can't do better
-    return best
+    return best if best >= least else 0.0
 
 
 def vector_literal(v: Column) -> Column:

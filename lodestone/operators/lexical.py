@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -24,25 +24,30 @@ from ..functions.text import WORD, word_similarity
 #: Places beyond this count as this one; a lexeme keeps so many places.
 MAX_PLACE = 16_383
 MAX_PLACES = 256
+#: Words whose trigrams a task remembers.
+MEMO = 500_000
 
 
-def postings(chunks: DataFrame, registry: Registry, stems: bool = False) -> DataFrame:
+def postings(chunks: DataFrame, registry: Registry, stems: bool = False, only: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """chunk_id, locale, lexeme, entries (array of place, weight). chunks: chunk_id, locale, source (text to index).
 
     With stems, full tokens of locales with the English search configuration are stemmed and its stop words left out.
+    keep: further columns of the chunks. only: the lexemes asked for; all others go before tokens become rows (stems are known after that only).
     """
     folded = chunks.withColumn("folded", registry.by_locale(F.col("locale"), lambda r: r.column(F.col("source"))))
     folded = folded.withColumn("stems", registry.by_locale(F.col("locale"), lambda r: r.prefix_column(F.col("folded"))))
     words = F.transform(F.regexp_extract_all(F.col("folded"), F.lit(f"({WORD})"), 1), F.lower)
     starts = F.transform(F.regexp_extract_all(F.col("stems"), F.lit(f"({WORD})"), 1), F.lower)
-    placed = folded.select("chunk_id", "locale", words.alias("w"), starts.alias("s"))
+    placed = folded.select("chunk_id", *keep, "locale", words.alias("w"), starts.alias("s"))
     entry = lambda x, i, weight, first: F.struct(x.alias("lexeme"), F.least(i + 1 + first, F.lit(MAX_PLACE)).alias("place"), F.lit(weight).alias("weight"))
     all_entries = F.concat(F.transform("w", lambda x, i: entry(x, i, "A", F.lit(0))), F.transform("s", lambda x, i: entry(x, i, "D", F.size("w"))))
-    rows = placed.select("chunk_id", "locale", F.explode(all_entries).alias("e")).select("chunk_id", "locale", "e.*")
+    if only is not None and not stems:
+        all_entries = F.filter(all_entries, lambda e: e["lexeme"].isin(sorted(only)))
+    rows = placed.select("chunk_id", *keep, "locale", F.explode(all_entries).alias("e")).select("chunk_id", *keep, "locale", "e.*")
     if stems:
         english = registry.by_locale(F.col("locale"), lambda r: F.lit(r.config == "english")) & (F.col("weight") == "A")
         rows = rows.withColumn("lexeme", F.when(english, _english()("lexeme")).otherwise(F.col("lexeme"))).where(F.col("lexeme").isNotNull())
-    lists = rows.groupBy("chunk_id", "locale", "lexeme").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("entries"))
+    lists = rows.groupBy("chunk_id", *keep, "locale", "lexeme").agg(F.array_sort(F.collect_list(F.struct("place", "weight"))).alias("entries"))
     return lists.withColumn("entries", F.slice("entries", 1, MAX_PLACES))
 
 
@@ -62,6 +67,12 @@ def query_tree(locale: str, registry: Registry, alternatives: list[str], config:
     return tsquery.either(full, stems)
 
 
+def search(chunks: DataFrame, registry: Registry, queries: list[tuple[str, list | None]]) -> DataFrame:
+    """lexical_hits() of chunks that have no stored postings: those of the queries' lexemes are made on the way."""
+    only = {term for _, t in queries if t is not None for term in tsquery.all_terms(t)}
+    return lexical_hits(postings(chunks, registry, only=only), chunks, queries)
+
+
 def lexical_hits(posts: DataFrame, chunks: DataFrame, queries: list[tuple[str, list | None]]) -> DataFrame:
     """query_id, chunk_id, score of every match. chunks: the searchable chunk ids (live, current, filtered)."""
     spark = posts.sparkSession
@@ -102,23 +113,42 @@ def trigram_table(chunks: DataFrame) -> DataFrame:
     return padded.select("chunk_id", F.explode(grams).alias("gram")).distinct()
 
 
-def fuzzy_hits(chunks: DataFrame, grams: DataFrame, terms: list[tuple[str, str]], threshold: float = 0.3) -> DataFrame:
+def padded_words(content: Column) -> Column:
+    """The words of a text, lower-cased and padded as for trigrams, one after the other with line breaks between."""
+    words = F.array_distinct(F.transform(F.regexp_extract_all(content, F.lit(f"({WORD})"), 1), F.lower))
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" "))), "\n")
+
+
+def fuzzy_hits(chunks: DataFrame, grams: DataFrame | None, terms: list[tuple[str, str]], threshold: float = 0.3) -> DataFrame:
     """query_id, chunk_id, score: the best word similarity of a query's terms of 4 letters and more, if it reaches the threshold.
 
     Blocking: a chunk must share at least threshold of a term's distinct trigrams, which any extent that reaches it does.
+    They are looked up in a stored trigram table, or without one counted in each chunk, row by row.
     """
     from ..functions.text import trigrams
 
     spark = chunks.sparkSession
     terms = sorted({(q, t) for q, t in terms if len(t) >= 4})
-    rows = [(q, t, g, len(set(trigrams(t)))) for q, t in terms for g in set(trigrams(t))]
-    wanted = F.broadcast(spark.createDataFrame(rows, "query_id string, term string, gram string, n int"))
-    close = grams.join(wanted, "gram").groupBy("query_id", "term", "chunk_id", "n").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= F.lit(threshold) * F.col("n"))
-    pairs = close.select("query_id", "term", "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id")
+    if grams is None:
+        least = lambda t: F.lit(threshold) * F.lit(len(set(trigrams(t))))
+        common = lambda t: sum((F.contains("padded", F.lit(g)).cast("int") for g in sorted(set(trigrams(t)))), F.lit(0))
+        shared = [F.when(common(t) >= least(t), F.struct(F.lit(q).alias("query_id"), F.lit(t).alias("term"))) for q, t in terms]
+        rows = chunks.select("chunk_id", "content", padded_words(F.col("content")).alias("padded"))
+        found = rows.select("chunk_id", "content", F.explode(F.array_compact(F.array(*shared))).alias("x")) if shared else rows.select("chunk_id", "content", F.struct(F.lit("").alias("query_id"), F.lit("").alias("term")).alias("x")).limit(0)
+        pairs = found.select("x.query_id", "x.term", "chunk_id", "content")
+    else:
+        rows = [(q, t, g, len(set(trigrams(t)))) for q, t in terms for g in set(trigrams(t))]
+        wanted = F.broadcast(spark.createDataFrame(rows, "query_id string, term string, gram string, n int"))
+        close = grams.where(F.col("gram").isin(sorted({g for _, _, g, _ in rows}))).join(wanted, "gram")
+        close = close.groupBy("query_id", "term", "chunk_id", "n").agg(F.count_distinct("gram").alias("common")).where(F.col("common") >= F.lit(threshold) * F.col("n"))
+        pairs = close.select("query_id", "term", "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, list[str]] = {}
         for b in batches:
-            yield pd.DataFrame({"query_id": b["query_id"], "chunk_id": b["chunk_id"], "score": [word_similarity(t, c) for t, c in zip(b["term"], b["content"], strict=True)]})
+            if len(known) > MEMO:
+                known.clear()
+            yield pd.DataFrame({"query_id": b["query_id"], "chunk_id": b["chunk_id"], "score": [word_similarity(t, c, threshold, known) for t, c in zip(b["term"], b["content"], strict=True)]})
 
     scored = pairs.select("query_id", "chunk_id", "term", "content").mapInPandas(run, "query_id string, chunk_id string, score double")
     return scored.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")).where(F.col("score") >= threshold)

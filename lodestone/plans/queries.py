@@ -234,9 +234,9 @@ def _all(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("locale"), F.col("text").alias("source"))
 
 
-@query("tokenize_postings", f"WITH {_P} SELECT doc_id, lexeme, least(count(*), 256) AS n, CAST(min(place) AS INT) AS first_place FROM (SELECT doc_id, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS place FROM w) WHERE length(lexeme) <= 3 GROUP BY 1, 2")
+@query("tokenize_postings", f"WITH {_P} SELECT doc_id, lexeme, least(count(*), 256) AS n, CAST(least(min(place), 16383) AS INT) AS first_place FROM (SELECT doc_id, unnest(ws) AS lexeme, generate_subscripts(ws, 1) AS place FROM w) GROUP BY 1, 2")
 def tokenize_postings(spark: SparkSession, sf: str) -> DataFrame:
-    posts = lexical.postings(_all(spark, sf), Registry()).where(F.length("lexeme") <= 3)
+    posts = lexical.postings(_all(spark, sf), Registry())
     posts = posts.select(F.col("chunk_id").cast("long").alias("doc_id"), "lexeme", F.size("entries").cast("long").alias("n"), F.col("entries")[0]["place"].alias("first_place"))
     return posts
 
@@ -247,7 +247,7 @@ def _lexical(name: str, text_query: str, where: str, rank: str | None = None) ->
     @query(name, f"WITH {_P} SELECT doc_id{score} FROM w WHERE doc_id % 17 <> 0 AND {where}")
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = _searchable(spark, sf)
-        hits = lexical.lexical_hits(lexical.postings(rows, Registry()), rows, [("q", tsquery.parse(text_query))])
+        hits = lexical.search(rows, Registry(), [("q", tsquery.parse(text_query))])
         return hits.select(F.col("chunk_id").cast("long").alias("doc_id"), *([F.round("score", 6).alias("score")] if rank else []))
 
 
@@ -271,7 +271,7 @@ def lexical_top10(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf)
     rows = reads.live(docs).where(F.col("locale").isin("de", "en") & metadata.contains(F.col("metadata"), {"quality": 1}))
     rows = rows.select(F.col("id").alias("chunk_id"), "locale", F.col("content").alias("source"))
-    hits = lexical.lexical_hits(lexical.postings(rows, Registry()), rows, [("q", tsquery.parse("the"))]).join(rows.select("chunk_id", "locale"), "chunk_id")
+    hits = lexical.search(rows, Registry(), [("q", tsquery.parse("the"))]).join(rows.select("chunk_id", "locale"), "chunk_id")
     top = hits.orderBy(F.desc("score"), fusion.locale_rank(F.col("locale"), ["de"]), "chunk_id").limit(10)
     return top.select(F.col("chunk_id").cast("long").alias("doc_id"), "locale", F.round("score", 6).alias("score"))
 
@@ -279,7 +279,7 @@ def lexical_top10(spark: SparkSession, sf: str) -> DataFrame:
 @query("lexical_cover_rank")
 def lexical_cover_rank(spark: SparkSession, sf: str) -> DataFrame:
     rows = _searchable(spark, sf)
-    return lexical.lexical_hits(lexical.postings(rows, Registry()), rows, [("a", tsquery.parse("with from")), ("b", tsquery.parse('"of the"'))])
+    return lexical.search(rows, Registry(), [("a", tsquery.parse("with from")), ("b", tsquery.parse('"of the"'))])
 
 
 @query(
@@ -296,7 +296,7 @@ def fuzzy_blocking(spark: SparkSession, sf: str) -> DataFrame:
 @query("fuzzy_trigram")
 def fuzzy_trigram(spark: SparkSession, sf: str) -> DataFrame:
     rows = _searchable(spark, sf)
-    return lexical.fuzzy_hits(rows, lexical.trigram_table(rows), [("q", "nation"), ("q", "idiotic")], 0.45)
+    return lexical.fuzzy_hits(rows, None, [("q", "nation"), ("q", "idiotic")], 0.45)
 
 
 @query(
@@ -356,10 +356,10 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vector_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return t(spark, sf, "embeddings").where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
-_KNN = """q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
+_KNN = """q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0),
 k AS (SELECT query_id, vec_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, CAST(vec_id AS VARCHAR)) AS n
   FROM (SELECT query_id, vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS s FROM embeddings, q))"""
 
@@ -426,14 +426,29 @@ def rrf_explain(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "hybrid_search",
-    f"""WITH {_LISTS}, g AS (SELECT f.*, lang AS locale FROM f JOIN documents USING (doc_id) WHERE score >= 0.0093)
-    SELECT doc_id, locale, round(score, 8) AS score FROM g ORDER BY CASE locale WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, score DESC, CAST(doc_id AS VARCHAR) LIMIT 20""",
+    f"""WITH {_P}, a AS (SELECT doc_id, row_number() OVER (ORDER BY s DESC, CAST(doc_id AS VARCHAR)) AS r FROM
+      (SELECT doc_id, least(list_count(list_filter(ws, lambda x: x = 'with')), 256) AS s FROM w WHERE doc_id % 17 <> 0 AND list_contains(ws, 'with')) QUALIFY r <= 50),
+    v AS (SELECT vec_id AS doc_id, s, row_number() OVER (ORDER BY s DESC, CAST(vec_id AS VARCHAR)) AS r FROM
+      (SELECT e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS s FROM embeddings e, embeddings q WHERE q.vec_id = 50) QUALIFY r <= 50),
+    b AS (SELECT doc_id, r FROM v WHERE s >= 0.2),
+    f AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS score, a.r AS lr, b.r AS vr FROM a FULL JOIN b ON a.doc_id = b.doc_id)
+    SELECT doc_id, lang AS locale, round(score, 8) AS score, CAST(coalesce(lr, 0) AS INT) AS lexical_rank, CAST(coalesce(vr, 0) AS INT) AS vector_rank FROM f JOIN documents USING (doc_id) WHERE doc_id % 17 <> 0 AND score >= 0.0093
+    ORDER BY CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END, f.score DESC, CAST(doc_id AS VARCHAR) LIMIT 20""",
 )
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Fused, joined with its details, below the least score dropped, locale first, then limited."""
-    details = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("locale"))
-    hits = fusion.fuse(*_two_lists(spark, sf)).join(details, "chunk_id").where(F.col("score") >= 0.0093)
-    return hits.orderBy(*fusion.final_order(["de", "en"])).limit(20).select(F.col("chunk_id").cast("long").alias("doc_id"), "locale", F.round("score", 8).alias("score"))
+    """Words over all live documents and the nearest of all vectors above the floor, fused; the locale first, then limited.
+
+    The vector of a document is the one with its id; what is asked for is the word "with" and vector 50.
+    """
+    rows = _searchable(spark, sf)
+    found = lexical.search(rows, Registry(), [("q", tsquery.parse("with"))]).withColumn("ordinal", F.lit(0))
+    words = fusion.ranked(found, [F.desc("score"), F.asc("chunk_id")], ["query_id"]).where(F.col("rank") <= 50)
+    asked = t(spark, sf, "embeddings").where("vec_id = 50").select(F.lit("q").alias("query_id"), F.col("embedding").alias("q"))
+    close = vectors.above_floor(vectors.nearest(_vectors(spark, sf), asked, 50), 0.2)
+    near = fusion.ranked(close, fusion.fused_order(), ["query_id"])
+    hits = fusion.fuse(words, near, 60, ["query_id"]).join(rows.select("chunk_id", "locale"), "chunk_id").where(F.col("score") >= 0.0093)
+    top = hits.orderBy(*fusion.final_order(["de", "en"])).limit(20)
+    return top.select(F.col("chunk_id").cast("long").alias("doc_id"), "locale", F.round("score", 8).alias("score"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "vector_rank")])
 
 
 # --- chunking, ingest --------------------------------------------------------------------------------------------
@@ -445,17 +460,14 @@ def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_table(rows, "doc_id", "long").select("doc_id", "ordinal", "token_count", "content_hash", F.length("overlap").alias("overlap_chars"))
 
 
-@query(
-    "chunk_headings",
-    """SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS ordinal, 'conv ' || conv_id || ' > ' || turn || ' ' || role AS path,
-    sha256('conv ' || conv_id || chr(31) || turn || ' ' || role || chr(10) || 'said ' || turn) AS content_hash FROM conversations""",
-)
+@query("chunk_headings")
 def chunk_headings(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as markdown: a title, and a section of one line for each turn."""
-    section = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit(" "), "role", F.lit("\n\nsaid "), F.col("turn").cast("string"))
+    """Conversations as markdown: a title, and a section for each turn with its whole text."""
+    blank = F.lit("")
+    section = F.concat(F.lit("## "), F.coalesce(F.col("turn").cast("string"), blank), F.lit(" "), F.coalesce("role", blank), F.lit("\n\n"), F.coalesce("text", blank))
     docs = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", section.alias("s")))).alias("x"))
-    docs = docs.select("conv_id", F.concat(F.lit("# conv "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("x", lambda e: e["s"]), "\n\n")).alias("content"))
-    return chunk_table(docs, "conv_id", "long").select("conv_id", "ordinal", F.array_join("heading_path", " > ").alias("path"), "content_hash")
+    docs = docs.select("conv_id", F.concat(F.lit("# conv "), F.coalesce(F.col("conv_id").cast("string"), blank), F.lit("\n\n"), F.array_join(F.transform("x", lambda e: e["s"]), "\n\n")).alias("content"))
+    return chunk_table(docs, "conv_id", "long").select("conv_id", "ordinal", F.array_join("heading_path", " > ").alias("path"), "token_count", "content_hash", F.length("overlap").alias("overlap_chars"))
 
 
 _OLD_NEW = """n AS (SELECT doc_id, lang, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), o AS (SELECT doc_id, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0)"""
@@ -630,6 +642,14 @@ def rate_limit_window(spark: SparkSession, sf: str) -> DataFrame:
     return windows.request_counts(t(spark, sf, "events"), width="6 hours").select("user_id", F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "requests")
 
 
+@query("rate_limit_stream", ORACLES["rate_limit_window"])
+def rate_limit_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same counts from a Structured Streaming query with a watermark, run until it has read all events."""
+    events = spark.readStream.schema(t(spark, sf, "events").schema).parquet(f"{sf}/events.parque[t]")
+    got = windows.settled(windows.request_counts(events, width="6 hours"), windows.shared_folder(spark))
+    return got.select("user_id", F.unix_seconds(F.col("window_start").cast("timestamp")).alias("window_start"), "requests")
+
+
 @query(
     "rate_limit_decisions",
     """SELECT event_id, CASE WHEN n <= 2 THEN 'admitted' WHEN n <= 3 THEN 'queued' ELSE 'rejected' END AS decision FROM
