@@ -28,6 +28,12 @@ MAX_PLACES = 256
 MEMO = 500_000
 
 
+def words_of(folded: Column) -> Column:
+    """The words of a text, lower-cased one by one, unless the text is in lower case already, as most rule sets leave it."""
+    found = F.regexp_extract_all(folded, F.lit(f"({WORD})"), 1)
+    return F.when(F.lower(folded) == folded, found).otherwise(F.transform(found, F.lower))
+
+
 def postings(chunks: DataFrame, registry: Registry, stems: bool = False, only: set[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """chunk_id, locale, lexeme, entries (array of place, weight). chunks: chunk_id, locale, source (text to index).
 
@@ -36,14 +42,12 @@ def postings(chunks: DataFrame, registry: Registry, stems: bool = False, only: s
     """
     folded = chunks.withColumn("folded", registry.by_locale(F.col("locale"), lambda r: r.column(F.col("source"))))
     folded = folded.withColumn("stems", registry.by_locale(F.col("locale"), lambda r: r.prefix_column(F.col("folded"))))
-    words = F.transform(F.regexp_extract_all(F.col("folded"), F.lit(f"({WORD})"), 1), F.lower)
-    starts = F.transform(F.regexp_extract_all(F.col("stems"), F.lit(f"({WORD})"), 1), F.lower)
-    placed = folded.select("chunk_id", *keep, "locale", words.alias("w"), starts.alias("s"))
-    entry = lambda x, i, weight, first: F.struct(x.alias("lexeme"), F.least(i + 1 + first, F.lit(MAX_PLACE)).alias("place"), F.lit(weight).alias("weight"))
-    all_entries = F.concat(F.transform("w", lambda x, i: entry(x, i, "A", F.lit(0))), F.transform("s", lambda x, i: entry(x, i, "D", F.size("w"))))
+    # tokens then stem prefixes as one array, so that a row's place is its index and no array of structs is built
+    placed = folded.select("chunk_id", *keep, "locale", words_of(F.col("folded")).alias("w"), words_of(F.col("stems")).alias("s"))
+    rows = placed.select("chunk_id", *keep, "locale", F.size("w").alias("tokens"), F.posexplode(F.concat("w", "s")).alias("at", "lexeme"))
     if only is not None and not stems:
-        all_entries = F.filter(all_entries, lambda e: e["lexeme"].isin(sorted(only)))
-    rows = placed.select("chunk_id", *keep, "locale", F.explode(all_entries).alias("e")).select("chunk_id", *keep, "locale", "e.*")
+        rows = rows.where(F.col("lexeme").isin(sorted(only)))
+    rows = rows.select("chunk_id", *keep, "locale", "lexeme", F.least(F.col("at") + 1, F.lit(MAX_PLACE)).alias("place"), F.when(F.col("at") < F.col("tokens"), "A").otherwise("D").alias("weight"))
     if stems:
         english = registry.by_locale(F.col("locale"), lambda r: F.lit(r.config == "english")) & (F.col("weight") == "A")
         rows = rows.withColumn("lexeme", F.when(english, _english()("lexeme")).otherwise(F.col("lexeme"))).where(F.col("lexeme").isNotNull())

@@ -18,6 +18,7 @@ from ..functions import normalise, snippets, text, tsquery
 from ..functions.chunking import chunk_table
 from ..functions.normalise import Registry
 from ..functions.rulesets import LIGATURES, UNMARK
+from ..runtime import spread
 from ..operators import backlog, evaluation, fusion, ingest, lexical, metadata, reads, vectors
 from ..streaming import windows
 
@@ -38,7 +39,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def digest(c: Column) -> Column:

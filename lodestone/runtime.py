@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,18 @@ def ship(spark: SparkSession) -> None:
                 z.write(p, p.relative_to(top.parent))
     sc.addPyFile(str(target))
     sc._lodestone_shipped = True
+
+
+#: Tables of so many bytes are dealt to all cores when they are in fewer files than there are cores.
+SMALL_TABLE = (1 << 20, 64 << 20)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table in a few files is mostly one row group, which one task reads: its rows are dealt to all cores.
+
+    Tables of more bytes or files stay as they are, so nothing is shuffled where it would cost.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    small = SMALL_TABLE[0] <= size <= SMALL_TABLE[1] and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if small else rows
