@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..runtime import spread
+
 #: Label rows up to this many are broadcast (16 bytes each); beyond it the join is shuffled.
 BROADCAST_LABELS = 2_000_000
 
@@ -21,7 +23,7 @@ SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_root(spark: SparkSession) -> str:
