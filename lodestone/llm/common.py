@@ -159,7 +159,3 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int =
         if np.abs(step).max() < 1e-9:
             break
     return w
-
-
-def logistic(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
