@@ -230,7 +230,9 @@ def word_similarity(term: str, content: str, least: float = 0.0, known: dict[str
 
 
 def vector_literal(v: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ","), F.lit("]"))
+    """[a,b,…]; an empty vector, and one with a null or a number that isn't finite, is an error."""
+    good = (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(v.isNull(), F.lit(None).cast("string")).when(good, F.concat(F.lit("["), F.array_join(F.transform(v, lambda x: x.cast("string")), ","), F.lit("]"))).otherwise(F.raise_error(F.lit("a vector has finite numbers, one at least")))
 
 
 def encode_vector(v: list[float]) -> bytes:
