@@ -72,6 +72,14 @@ def expand(query: str, chain: list[str], groups: dict[str, list[list[str]]]) ->
     return added
 
 
+def expand_column(folded: Column, group: list[str]) -> Column:
+    """expand() for one group over a column: the added members as an array."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.trim(folded), " +", " "), F.lit(" "))
+    has = [F.contains(padded, F.lit(f" {m} ")) for m in group]
+    fires = F.array_contains(F.array(*has), True)
+    return F.array_compact(F.array(*[F.when(fires & ~h, F.lit(m)) for m, h in zip(group, has, strict=True)]))
+
+
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 WORD = r"[\p{L}\p{N}]+"

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from ..config import Settings
+from ..engine import Engine
 from ..functions import normalise, snippets, text, tsquery
 from ..functions.chunking import chunk_table
 from ..functions.normalise import Registry
@@ -308,12 +310,8 @@ def fuzzy_trigram(spark: SparkSession, sf: str) -> DataFrame:
     + """ || ' ' AS p FROM documents))""",
 )
 def synonym_expand(spark: SparkSession, sf: str) -> DataFrame:
-    group = ["idiot", "clown", "of the", "scum"]
-    padded = F.concat(F.lit(" "), Registry().sets["*"].column(F.col("text")), F.lit(" "))
-    rows = t(spark, sf, "documents").select("doc_id", padded.alias("p"))
-    has = [F.contains("p", F.lit(f" {m} ")) for m in group]
-    fires = has[0] | has[1] | has[2] | has[3]
-    return rows.select("doc_id", F.concat_ws(",", *[F.when(fires & ~h, F.lit(m)) for m, h in zip(group, has, strict=True)]).alias("added"))
+    folded = Registry().sets["*"].column(F.col("text"))
+    return t(spark, sf, "documents").select("doc_id", F.concat_ws(",", text.expand_column(folded, ["idiot", "clown", "of the", "scum"])).alias("added"))
 
 
 # --- metadata, locales, order ------------------------------------------------------------------------------------
@@ -380,7 +378,8 @@ def vector_floor(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_KNN} SELECT count(*) AS rejected, round(max(score), 6) AS best_rejected FROM k WHERE n <= 10 AND score < 0.5",
 )
 def vector_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.nearest(_vectors(spark, sf), _vector_queries(spark, sf), 10).where(F.col("score") < 0.5).agg(F.count(F.lit(1)).alias("rejected"), F.round(F.max("score"), 6).alias("best_rejected"))
+    got = vectors.rejected(vectors.nearest(_vectors(spark, sf), _vector_queries(spark, sf), 10), 0.5)
+    return got.agg(F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"), F.round(F.max("best_rejected"), 6).alias("best_rejected"))
 
 
 @query("vector_norms", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
@@ -396,8 +395,7 @@ def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     CAST(sum(CASE WHEN ('0x' || substring(h, 9, 2))::UBIGINT % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM h GROUP BY 1, 2""",
 )
 def hash_embed(spark: SparkSession, sf: str) -> DataFrame:
-    words = t(spark, sf, "documents").select("doc_id", F.explode(text.tokens(F.col("text"))).alias("w"))
-    return words.groupBy("doc_id", text.token_bucket(F.col("w"), 128).alias("bucket")).agg(F.sum(text.token_sign(F.col("w")).cast("long")).alias("weight"))
+    return vectors.feature_weights(t(spark, sf, "documents").select("doc_id", "text"), "doc_id", 128)
 
 
 def _two_lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -452,6 +450,23 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return top.select(F.col("chunk_id").cast("long").alias("doc_id"), "locale", F.round("score", 8).alias("score"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lexical_rank", "vector_rank")])
 
 
+@query(
+    "search_lexical",
+    f"""WITH {_P}, s AS (SELECT doc_id, least(list_count(list_filter(ws, lambda x: x = 'und')), 256) AS n,
+      sha256(sha256(sha256('t' || chr(31) || 'all') || chr(31) || doc_id || chr(31) || 'de') || chr(31) || '1' || chr(31) || '0') AS chunk_id FROM w WHERE lang = 'de' AND list_contains(ws, 'und')),
+    r AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY n DESC, chunk_id) AS INT) AS position FROM s)
+    SELECT position, CAST(doc_id AS VARCHAR) AS external_key, 'de' AS locale, round(1.0 / (60 + position), 8) AS score, position AS lexical_rank FROM r WHERE position <= 10""",
+)
+def search_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """The API end to end: all documents are uploaded into new tables, then searched through the stored postings."""
+    engine = Engine(spark, windows.shared_folder(spark), Settings(locales=["en", "fr", "de", "es"], table_buckets=4))
+    engine.upsert_collection("t", "all")
+    bodies = t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("external_key"), F.col("lang").alias("locale"), F.col("text").alias("content"))
+    engine.upsert_documents("t", "all", bodies)
+    hits = engine.search("t", "all", "UND", "de", "lexical", explain=True).hits
+    return hits.select("position", "external_key", "locale", F.round("score", 8).alias("score"), "lexical_rank")
+
+
 # --- chunking, ingest --------------------------------------------------------------------------------------------
 
 
@@ -539,10 +554,9 @@ def list_stale_translations(spark: SparkSession, sf: str) -> DataFrame:
     return reads.live(reads.with_staleness(docs, "xx")).where("stale").select("doc_id")
 
 
-@query("get_document_ambiguous", "SELECT c_nationkey AS external_key, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS locales, count(DISTINCT c_mktsegment) > 1 AS ambiguous FROM customer GROUP BY 1")
+@query("get_document_ambiguous", f"WITH {_D} SELECT CAST(number % 97 AS VARCHAR) AS external_key, count(DISTINCT locale) AS locales, count(DISTINCT locale) > 1 AS ambiguous FROM d WHERE NOT deleted GROUP BY 1")
 def get_document_ambiguous(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("external_key")).agg(F.count_distinct("c_mktsegment").alias("locales"))
-    return rows.withColumn("ambiguous", F.col("locales") > 1)
+    return reads.locales_of(documents(spark, sf).withColumn("external_key", (F.col("number") % 97).cast("string")))
 
 
 @query(
@@ -558,7 +572,9 @@ def revision_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("list_collections", f"WITH {_D} SELECT collection_id AS key, count(*) FILTER (NOT deleted) AS documents FROM d GROUP BY 1")
 def list_collections(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).groupBy(F.col("collection_id").alias("key")).agg(F.count(F.when(F.col("deleted_at").isNull(), 1)).alias("documents"))
+    docs = documents(spark, sf)
+    keys = docs.select(F.col("collection_id").alias("id"), F.col("collection_id").alias("key")).distinct()
+    return reads.document_counts(keys, docs).select("key", F.col("document_count").alias("documents"))
 
 
 @query("stats_by_collection", f"WITH {_D} SELECT collection_id AS key, count(DISTINCT id) FILTER (NOT deleted) AS documents, count(*) AS chunks FROM d GROUP BY 1")
@@ -577,7 +593,7 @@ def stats_by_locale(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stats_totals", f"WITH {_D} SELECT count(*) FILTER (NOT deleted) AS documents, count(*) AS chunks, count(DISTINCT collection_id) AS collections FROM d")
 def stats_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).agg(F.count(F.when(F.col("deleted_at").isNull(), 1)).alias("documents"), F.count(F.lit(1)).alias("chunks"), F.count_distinct("collection_id").alias("collections"))
+    return reads.totals(stats_by_collection(spark, sf))
 
 
 # --- backlog, jobs, windows --------------------------------------------------------------------------------------
@@ -600,7 +616,7 @@ def backlog_due(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("backlog_depth", "SELECT event_type AS model_slug, count(*) AS depth FROM events GROUP BY 1")
 def backlog_depth(spark: SparkSession, sf: str) -> DataFrame:
-    return _backlog(spark, sf).groupBy("model_slug").agg(F.count(F.lit(1)).alias("depth"))
+    return backlog.depth(_backlog(spark, sf))
 
 
 @query(
@@ -672,7 +688,7 @@ def circuit_breaker_window(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("latest_gauge", "SELECT user_id, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY 1")
 def latest_gauge(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "events").groupBy("user_id").agg(F.round(F.max_by("value", F.struct("ts", "event_id")), 6).alias("value"))
+    return windows.latest(t(spark, sf, "events")).select("user_id", F.round("value", 6).alias("value"))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -726,6 +742,8 @@ def snippet_highlight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tenant_lookup", f"WITH {_D} SELECT DISTINCT collection_id FROM d WHERE collection_id < 'src5' AND NOT deleted")
 def tenant_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """A tenant's collections only: the first filter of every plan."""
-    tenant = F.when(F.col("collection_id") < "src5", "a").otherwise("b")
-    return reads.live(documents(spark, sf)).where(tenant == "a").select("collection_id").distinct()
+    """A tenant's collections with live documents."""
+    docs = documents(spark, sf)
+    owner = F.when(F.col("collection_id") < "src5", "a").otherwise("b")
+    collections = docs.select(F.col("collection_id").alias("id"), owner.alias("tenant_id")).distinct()
+    return reads.live(reads.of_tenant(collections, docs, "a")[1]).select("collection_id").distinct()
