@@ -382,6 +382,12 @@ def vector_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return got.agg(F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"), F.round(F.max("best_rejected"), 6).alias("best_rejected"))
 
 
+@query("orphan_models", "SELECT 'm' || label AS model_slug, count(*) AS vectors FROM embeddings WHERE label >= 3 GROUP BY 1")
+def orphan_models(spark: SparkSession, sf: str) -> DataFrame:
+    stored = t(spark, sf, "embeddings").select(F.concat(F.lit("m"), F.col("label").cast("string")).alias("model_slug"))
+    return vectors.orphan_models(stored, ["m0", "m1", "m2"])
+
+
 @query("vector_norms", "SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings")
 def vector_norms(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("embedding")
