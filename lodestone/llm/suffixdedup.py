@@ -24,7 +24,7 @@ send the hottest keys by broadcast, at most 65,536 of them, so that no task gets
 
 Nulls: a null text is empty; a null doc_id sorts first. Repeated rows repeat each other's bytes, and rows with equal
 doc_id and text fare alike (with keep_first they count as one place). Ties in the order of anchors go to the leftmost.
-Very long texts are cut into overlapping pieces of 1 MiB, with each window in exactly one. Empty tables give no rows.
+Very long texts are cut into overlapping pieces of 512 KiB, with each window in exactly one. Empty tables give no rows.
 Other columns stay, whatever their names; if there is a column _repeats already, the result's is _repeats_.
 """
 
@@ -46,11 +46,11 @@ from .common import fresh, hot_join, materialise, packed, unpacked
 #: Different stretches of one anchor that a suffix array takes, at most (600 bytes each).
 MAX_STRETCHES = 4096
 #: Bytes of a batch that one suffix array is built over (beyond one anchor's).
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 #: Rows that may be broadcast to find the texts of stretches; beyond it the join is shuffled.
 BROADCAST_ROWS = 400_000
 
-_BUFFER = 1 << 20
+_BUFFER = 1 << 19
 _PLACE = np.uint64((1 << 21) - 1)
 _NO_ID = -(1 << 63)
 
