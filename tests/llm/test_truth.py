@@ -165,6 +165,17 @@ def test_suffix_dedup_of_periodic_texts(spark, keep_first):
     assert got == {i: bytes(np.frombuffer(t.encode(), dtype=np.uint8)[~m]) for i, (t, m) in enumerate(zip(texts, marks, strict=True))}
 
 
+def test_long_texts_are_cut_without_losing_windows():
+    data = np.random.default_rng(3).integers(97, 101, 1_300_000).astype(np.uint8).tobytes()
+    covered = np.zeros(len(data), dtype=np.int64)
+    for pieces in suffixdedup._pieces(iter([(0, b"short"), (1, data)]), 400):
+        documents, first, last, times, *_ = suffixdedup.anchors_of(pieces, 400)
+        assert set(documents) <= {1}
+        for a, b, n in zip(first, last, times, strict=True):
+            covered[a : a + n * (b - a + 1)] += 1
+    assert (covered[: len(data) - 399] == 1).all() and not covered[len(data) - 399 :].any()
+
+
 def test_factors_against_all_pairs():
     rng = np.random.default_rng(5)
     for trial in range(120):
