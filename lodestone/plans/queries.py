@@ -446,7 +446,7 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     The vector of a document is the one with its id; what is asked for is the word "with" and vector 50.
     """
     rows = _searchable(spark, sf)
-    found = lexical.search(rows, Registry(), [("q", tsquery.parse("with"))]).withColumn("ordinal", F.lit(0))
+    found = lexical.search(rows, Registry(), [("q", tsquery.parse("with"))], most=lexical.MAX_PLACES).withColumn("ordinal", F.lit(0))
     words = fusion.ranked(found, [F.desc("score"), F.asc("chunk_id")], ["query_id"]).where(F.col("rank") <= 50)
     asked = t(spark, sf, "embeddings").where("vec_id = 50").select(F.lit("q").alias("query_id"), F.col("embedding").alias("q"))
     close = vectors.above_floor(vectors.nearest(_vectors(spark, sf), asked, 50), 0.2)
