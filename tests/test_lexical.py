@@ -28,3 +28,7 @@ def same_as_sql(spark, folder, name):
 
 def test_single_term_counts_every_place(spark, long_texts):
     same_as_sql(spark, long_texts, "lexical_single_term")
+
+
+def test_phrase_is_found_at_any_place(spark, long_texts):
+    same_as_sql(spark, long_texts, "lexical_phrase")
