@@ -36,3 +36,7 @@ def test_phrase_is_found_at_any_place(spark, long_texts):
 
 def test_mixed_query_finds_phrases_at_any_place(spark, long_texts):
     same_as_sql(spark, long_texts, "lexical_mixed")
+
+
+def test_top10_ranks_by_every_place(spark, long_texts):
+    same_as_sql(spark, long_texts, "lexical_top10")
