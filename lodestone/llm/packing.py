@@ -40,8 +40,8 @@ OPEN_WINDOWS = 8192
 #: Tokens that a window may miss when it is closed at the end; they are padding.
 PADDING = 16
 
-#: Cached words of a tokenising process.
-CACHED = 700_000
+#: Cached words of a tokenising task, about 200 bytes each; as many of their pieces.
+CACHED = 400_000
 
 _ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split() only
 # printable ASCII and the accented letters of Latin-1 and Latin Extended-A, on which all Unicode tables agree
@@ -106,8 +106,14 @@ class Encoder:
             return self.whole(text)
         folded = text.lower()
         pieces = self.pieces
+        if folded == text and text.isalpha():
+            return self.piece(text)  # remembered as a word already
         return pieces[folded] if folded.isalpha() else b"".join([pieces[x] for x in self.split.findall(folded)])
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.pieces.clear()
+
     def encode(self, text: str) -> bytes:
         if not self.by_word or _ODD_SPACE.search(text):
             return self.whole(text)
@@ -254,6 +260,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = enc.encode(text or "") + end
                     yield from emit(packer.add((doc_id, len(ids) // 4), ids))
+        enc.forget()  # the process serves other stages too
         yield from emit(packer.finish())
         if rows:
             yield flush()

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -129,3 +130,24 @@ def test_odd_rows(spark, folder):
 
 def test_empty_tables(spark, folder):
     assert corpus_pipeline.run(spark, folder([], [], [])).count() == 0
+
+
+def test_packing_leaves_no_words_in_its_workers(spark):
+    """Stages before and after it in a pipeline run in the same processes."""
+    arrow = pa.schema([("words", pa.int64()), ("again", pa.int64())])
+
+    def kept(batches):
+        for _ in batches:
+            pass
+        enc = packing.encoder(WORD_BPE)
+        yield pa.RecordBatch.from_pydict({"words": [len(enc.words) + len(enc.pieces)], "again": [packing.encoder.cache_info().hits]}, schema=arrow)
+
+    packing.pack(table(spark, SMALL, "documents").repartition(8), WORD_BPE).collect()
+    rows = spark.range(8, numPartitions=8).mapInArrow(kept, "words long, again long").collect()
+    assert any(r.again for r in rows) and not any(r.words for r in rows)
+
+
+def test_packing_remembers_a_word_once():
+    enc = packing.Encoder(WORD_BPE)
+    enc.encode("plain words, Plain twice")
+    assert set(enc.words) == {"plain", "words,", "Plain", "twice"} and not {"twice"} & set(enc.pieces)
